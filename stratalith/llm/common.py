@@ -35,6 +35,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    # What the finished step shuffled is no longer needed; its files go once the JVM notices.
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -53,10 +55,9 @@ def row_key(id_col: str = "doc_id", text_col: str = "text"):
     return F.xxhash64(F.col(id_col).cast("string"), F.coalesce(F.col(text_col), F.lit("")))
 
 
-def by_bucket(df: DataFrame, buckets: int, bucket: str = "bucket") -> DataFrame:
-    """Bring the packed parts of a bucket together, buckets in order within a partition."""
-    parts = min(buckets, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 2)
-    return df.repartition(max(parts, buckets // 64), bucket).sortWithinPartitions(bucket)
+def partitions_for(spark: SparkSession, buckets: int) -> int:
+    """Shuffle partitions for so many buckets: at least the session's number, a few dozen buckets each at most."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), buckets // 16)
 
 
 def empty_like(spark: SparkSession, schema: str | T.StructType) -> DataFrame:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, mixing
+from . import chat, decontaminate, mixing, substring_dedup, suffix_dedup
 
-MODULES = (decontaminate, mixing, chat)
+MODULES = (substring_dedup, decontaminate, suffix_dedup, mixing, chat)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL = {k: s for m in MODULES for k, s in m.ORACLE_SQL.items()}

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+np.seterr(over="ignore")  # 64-bit hashes wrap
 U = np.uint64
 _C1, _C2, _C3 = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB), U(0x9E3779B97F4A7C15)
 _P = U(0xD6E8FEB86659FD93)
