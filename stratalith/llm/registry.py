@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, mixing, substring_dedup, suffix_dedup
+from . import chat, decontaminate, language_id, mixing, quality_gam, quality_rules, substring_dedup, suffix_dedup, toxicity
 
-MODULES = (substring_dedup, decontaminate, suffix_dedup, mixing, chat)
+MODULES = (quality_rules, substring_dedup, decontaminate, toxicity, suffix_dedup, mixing, quality_gam, chat, language_id)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL = {k: s for m in MODULES for k, s in m.ORACLE_SQL.items()}
