@@ -110,6 +110,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     return base.join(marks, "row", "left").select("row", "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, broadcast_rows: int = BROADCAST_ROWS, **how) -> DataFrame:
+    """The rows of ``docs`` in which no window of the benchmark occurs, as they are."""
+    hit = materialize(contamination(docs, benchmark, broadcast_rows=broadcast_rows, **how).select("row").distinct(), "contaminated")
+    small = hit.limit(broadcast_rows + 1).count() <= broadcast_rows
+    return docs.withColumn("row", row_key()).join(F.broadcast(hit) if small else hit, "row", "left_anti").select(docs.columns)
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))

@@ -296,7 +296,7 @@ def link(postings: DataFrame, sets: DataFrame) -> DataFrame | None:
 
 
 def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(rid, doc_id, n_shingles, component_id) of each row; rid: hash of its id and text."""
+    """(rid, doc_id, root, n_shingles, component_id) of each row; rid: hash of its id and text; root: the component's key."""
     spark = docs.sparkSession
     rows = docs.select(F.xxhash64(F.col(id_col).cast("string"), F.coalesce(F.col(text_col), F.lit(""))).alias("rid"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     total = text_bytes(docs, text_col)
@@ -334,7 +334,18 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     roots = link(postings, sets)
     rows = member.join(roots, "node", "left").withColumn("root", F.when(F.col("n") > 0, F.coalesce("root", "node")))
     least = rows.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"))
-    return rows.join(least, "root", "left").select("rid", "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    return rows.join(least, "root", "left").select("rid", "doc_id", F.coalesce("root", "rid").alias("root"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of ``docs`` without all but one of each component: the least id stays, among null ids one by a hash.
+
+    Rows alike in id and text are one document.
+    """
+    found = jaccard_components(docs, id_col=id_col, text_col=text_col)
+    best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid")).alias("best")).select("best.rid")
+    rid = F.xxhash64(F.col(id_col).cast("string"), F.coalesce(F.col(text_col), F.lit("")))
+    return docs.withColumn("_rid", rid).join(best.distinct().withColumnRenamed("rid", "_rid"), "_rid", "left_semi").dropDuplicates(["_rid"]).drop("_rid")
 
 
 class Bits:

@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textkernel as tk
 from .common import materialize
@@ -228,36 +229,69 @@ def learn_lexicon(docs: DataFrame, sample: DataFrame, most: int) -> list[tuple[s
     return choose_terms(rows, most)
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, terms: int = TERMS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, row, held_out, score, FEATURES) for each row; row: xxhash64 of its text."""
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+class Toxicity:
+    """Automaton and weights; no weights without labels of both kinds."""
+
+    def __init__(self, terms: list[tuple[str, bool]]):
+        self.automaton, self.weights = Automaton(terms), None
+        said = [w.encode() for w in REPORTING]
+        edge = np.cumsum([0] + [len(w) for w in said])
+        self.reporting = tk.span_hash(np.frombuffer(b"".join(said), np.uint8), edge[:-1], edge[1:])
+
+    def features(self, text: pa.Array) -> np.ndarray:
+        parts = [block_features(self.automaton, self.reporting, data, offs) for _, _, data, offs in tk.blocks(text, 1 << 20)]
+        return np.concatenate(parts) if parts else np.zeros((0, len(FEATURES)))
+
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        if self.weights is None:
+            return np.zeros(len(x))
+        return 1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -30, 30)))
+
+
+def learn_toxicity(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, terms: int = TERMS, id_col: str = "doc_id", text_col: str = "text") -> Toxicity:
+    """Lexicon and weights from at most ``sample`` labelled rows."""
     known = materialize(learning_sample(labels, "toxic", sample, id_col), "toxic-sample")
-    automaton = Automaton(learn_lexicon(texts, known, terms))
-    said = [w.encode() for w in REPORTING]
-    flat = np.frombuffer(b"".join(said), np.uint8)
-    edge = np.cumsum([0] + [len(w) for w in said])
-    reporting = tk.span_hash(flat, edge[:-1], edge[1:])
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = materialize(rows.join(F.broadcast(known), "doc_id"), "toxic-rows")
+    model = Toxicity(learn_lexicon(rows.select("doc_id", "text"), known, terms))
+
+    def step(batches):
+        for batch in batches:
+            x = model.features(batch.column("text"))
+            yield pa.RecordBatch.from_arrays([batch.column("label"), *(pa.array(c) for c in x.T)], names=["label", *FEATURES])
+
+    fit = rows.select("label", "text").mapInArrow(step, ", ".join(["label int", *(f"{n} double" for n in FEATURES)])).toPandas()
+    fit = fit.sort_values(["label", *FEATURES], ignore_index=True)
+    if fit["label"].nunique() == 2:
+        model.weights = fit_logistic(fit[list(FEATURES)].to_numpy(float), fit["label"].to_numpy(float))
+    return model
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """(doc_id, held_out, score, FEATURES) for each row."""
+    model = learn_toxicity(docs, labels, id_col=id_col, text_col=text_col, **how)
 
     def step(batches):
         for batch in batches:
-            parts = [block_features(automaton, reporting, data, offs) for _, _, data, offs in tk.blocks(batch.column("text"), 1 << 20)]
-            if parts:
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), *(pa.array(c) for c in np.concatenate(parts).T)], names=["doc_id", "row", *FEATURES])
+            x = model.features(batch.column("text"))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.scores(x)), *(pa.array(c) for c in x.T)], names=["doc_id", "score", *FEATURES])
 
-    rows = texts.select("doc_id", F.xxhash64("text").alias("row"), "text")
-    schema = rows.drop("text").schema
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    schema = T.StructType().add("doc_id", rows.schema["doc_id"].dataType).add("score", "double")
     for name in FEATURES:
         schema = schema.add(name, "double")
-    table = materialize(rows.mapInArrow(step, schema), "toxic-features")
-    fit = table.join(F.broadcast(known), "doc_id").select("doc_id", "label", *FEATURES).toPandas().sort_values(["doc_id", *FEATURES], ignore_index=True)
-    score = F.lit(0.0)
-    if fit["label"].nunique() == 2:
-        w = fit_logistic(fit[list(FEATURES)].to_numpy(float), fit["label"].to_numpy(float))
-        at = F.lit(float(w[-1]))
-        for name, value in zip(FEATURES, w, strict=False):
-            at = at + F.col(name) * F.lit(float(value))
-        score = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), at))))
-    return table.select("doc_id", "row", held_out().alias("held_out"), score.alias("score"), *FEATURES)
+    return rows.mapInArrow(step, schema).select("doc_id", held_out().alias("held_out"), "score", *FEATURES)
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, *, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The rows of ``docs`` that score under ``least``, as they are; scored and filtered in one pass, without a shuffle."""
+    model = learn_toxicity(docs, labels, id_col=id_col, text_col=text_col, **how)
+
+    def step(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(model.scores(model.features(batch.column(text_col))) < least))
+
+    return docs.mapInArrow(step, T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema]))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
