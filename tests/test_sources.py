@@ -18,9 +18,9 @@ ITEM: BOX BOUNDS pp pp pp
 0 10
 0 11
 0 12
-ITEM: ATOMS id mol element mass xu yu zu
-1 1 C 12.0 0.5 1.5 2.5
-2 1 H 1.0 0.1 0.2 0.3
+ITEM: ATOMS id mol element xu yu zu
+1 1 C 0.5 1.5 2.5
+2 1 H 0.1 0.2 0.3
 ITEM: TIMESTEP
 200
 ITEM: NUMBER OF ATOMS
@@ -29,8 +29,8 @@ ITEM: BOX BOUNDS xy xz yz
 0 10 1
 0 11 0
 0 12 0
-ITEM: ATOMS id mol element mass xu yu zu
-1 1 C 12.0 9.5 8.5 7.5
+ITEM: ATOMS id mol element xu yu zu
+1 1 C 9.5 8.5 7.5
 """
 
 
