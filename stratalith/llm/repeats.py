@@ -75,6 +75,12 @@ def find_anchors(runs: Runs, buckets: int) -> Callable:
     def step(batches):
         for batch in batches:
             ids, ties = batch.column("id").to_numpy(zero_copy_only=False), batch.column("tie").to_numpy(zero_copy_only=False)
+            # Rows alike in id and text are one document.
+            order = np.lexsort((ties, ids))
+            once = np.zeros(len(ids), bool)
+            once[order] = an.first_of_groups(ids[order], ties[order])
+            if not once.all():
+                batch, ids, ties = batch.filter(pa.array(once)), ids[once], ties[once]
             found = []
             for lo, _, data, offs in tk.blocks(batch.column("text"), 1 << 20):
                 sym, bounds = an.symbols(runs, data, offs)
@@ -120,6 +126,7 @@ def compare_anchors(runs: Runs, doc_buckets: int) -> Callable:
         keep = order[many]
         a, c, ids, ties, pos = a[keep], c[keep], ids[keep], ties[keep], pos[keep]
         order = np.lexsort((pos, ties, ids, c, a))
+        order = order[an.first_of_groups(a[order], c[order], ids[order], ties[order], pos[order])]
         a, c, ids, ties, pos = a[order], c[order], ids[order], ties[order], pos[order]
         first = an.first_of_groups(a, c)
         again = ~first
@@ -250,7 +257,8 @@ def settle_contexts(runs: Runs, settle: Callable, doc_buckets: int) -> Callable:
         a, ids, ties, pos = (read(batch, n, k) for n, k in (("a", U), ("id", np.int64), ("tie", np.int32), ("pos", np.uint32)))
         sides = read(batch, "sides", np.uint16).reshape(-1, 2).astype(np.int64)
         context = read(batch, "context", kind).reshape(-1, width)
-        order = np.lexsort((pos, ties, ids))
+        order = np.lexsort((a, pos, ties, ids))
+        order = order[an.first_of_groups(a[order], pos[order], ties[order], ids[order])]
         a, ids, ties, pos, sides, context = a[order], ids[order], ties[order], pos[order], sides[order], context[order]
         # marked[i, o]: the run that begins o symbols before anchor i is a repeat.
         marked = settle(runs, a, context, sides)
