@@ -86,7 +86,7 @@ class Automaton:
 
     def __init__(self, terms: list[tuple[str, bool]]):
         children: list[dict[int, int]] = [{}]
-        whole, stem, fuzzy = set(), set(), set()
+        whole, stem, fuzzy, long = set(), set(), set(), set()
         for term, is_stem in terms:
             node, raw = 0, term.encode()
             for c in raw:
@@ -97,6 +97,8 @@ class Automaton:
                 if len(raw) >= FUZZY_LEAST:
                     fuzzy.add(node)
             (stem if is_stem else whole).add(node)
+            if len(raw) >= FUZZY_LEAST:
+                long.add(node)
         below = {0} | fuzzy  # nodes on the way to a term that is long enough for an edit
 
         def closed(states):
@@ -110,7 +112,7 @@ class Automaton:
         def step(states, c):
             out = set()
             for node, edits in states:
-                if c in children[node]:
+                if c in children[node] and (edits == 0 or children[node][c] in below):
                     out.add((children[node][c], edits))
                 if edits == 0:
                     if node in below:
@@ -129,10 +131,10 @@ class Automaton:
             row = np.zeros(256, np.int32)
             kind = NONE
             for node, edits in states:
-                if node in stem:
+                if node in stem and (edits == 0 or node in long):
                     kind = max(kind, STEM if not edits else NEAR_STEM, key=lambda k: (k in (STEM, NEAR_STEM), k == STEM))
             for node, edits in states:
-                if node in whole and kind not in (STEM,):
+                if node in whole and kind != STEM and (edits == 0 or node in long):
                     kind = WORD if not edits else (kind if kind in (WORD, NEAR_STEM) else NEAR)
             self.kind.append(kind)
             if kind != STEM:  # a stem found exactly needs no more bytes
