@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from ..functions import geometry as g
 from ..functions.scalars import hashed_uniform, uniform_to_normal
 from ..functions.tables import crystal_system
 from .aggregates import centroids, radii
-from .joins import symmetry_images
+from .joins import radius_join, symmetry_images
 
 CELL = ("a", "b", "c", "alpha", "beta", "gamma")
 
@@ -94,8 +96,6 @@ def random_crystals(molecules: DataFrame, key: str, seed: int, sg_ind: int = 1)
     def n(name):
         return uniform_to_normal(u(name))
 
-    import math
-
     raw = molecules.withColumn("sg_ind", F.lit(sg_ind)).withColumns({a: F.exp(0.3 * n(a)) for a in "abc"} | {a: math.pi / 2 + 0.1 * n(a) for a in ("alpha", "beta", "gamma")})
     raw = raw.withColumn("system", crystal_system("sg_ind"))
     raw = raw.withColumns(g.enforce_system("system", *CELL))
@@ -112,3 +112,50 @@ def best_attempt(molecules: DataFrame, key: str, score, attempts: int, seed: int
     tries = molecules.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(attempts - 1)))).withColumn("_try", F.concat_ws("#", key, "attempt"))
     scored = score(random_crystals(tries, "_try", seed)).drop("_try")
     return scored.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy("score", "attempt"))).filter("_r = 1").drop("_r")
+
+
+def noised(crystals: DataFrame, key: str, columns: list[str], scale: float, seed: int) -> DataFrame:
+    """Seeded Gaussian noise on parameters."""
+    return crystals.withColumns({c: F.col(c) + scale * uniform_to_normal(hashed_uniform(F.lit(seed), F.lit(c), F.col(key))) for c in columns})
+
+
+def fold_to_least(candidates: DataFrame, key: str, columns: tuple[str, ...] = ("fx", "fy", "fz", "ox", "oy", "oz"), digits: int = 6) -> DataFrame:
+    """The candidate of each key that is least column by column, values rounded first; rows with ``valid`` false don't take part."""
+    ok = candidates.filter("valid") if "valid" in candidates.columns else candidates
+    order = F.struct(*(F.round(F.col(c), digits).alias(c) for c in columns))
+    rest = [c for c in ok.columns if c != key]
+    return ok.groupBy(key).agg(F.min_by(F.struct(*rest), order).alias("_b")).select(key, "_b.*")
+
+
+def coset_images(crystals: DataFrame, operators: DataFrame, key: str = "sg_ind") -> DataFrame:
+    """Centroids under each operator of a normaliser's cosets, the identity included, with ``valid``: proper, or the molecule isn't chiral."""
+    met = symmetry_images(crystals, operators, key)
+    m = tuple(tuple(F.col(f"r{i}{j}") for j in (1, 2, 3)) for i in (1, 2, 3))
+    chiral = F.col("chiral") if "chiral" in crystals.columns else F.lit(True)
+    return met.withColumn("valid", (g.determinant(m) > 0) | ~chiral)
+
+
+def free_axes_zeroed(crystals: DataFrame, free: DataFrame, key: str = "sg_ind") -> DataFrame:
+    """Centroid coordinates along a group's free axes set to 0. free: (sg_ind, free_x, free_y, free_z)."""
+    met = crystals.join(F.broadcast(free), key, "left")
+    return met.withColumns({f"f{a}": F.when(F.coalesce(f"free_{a}", F.lit(False)), 0.0).otherwise(F.col(f"f{a}")) for a in "xyz"}).drop("free_x", "free_y", "free_z")
+
+
+def rebuild_matches(original: DataFrame, rebuilt: DataFrame, cutoff: float, *, key: str = "crystal", worst: float = 5e-2, mean: float = 1e-2) -> DataFrame:
+    """(crystal, ok): nearest rebuilt atom of each original one: worst and mean distance in bounds, and no atom taken twice."""
+    e = radius_join(original, rebuilt, cutoff, group=key, point="atom")
+    near = e.groupBy(key, "i").agg(F.min_by("j", F.struct("dist", "j")).alias("j"), F.min("dist").alias("dist"))
+    n = original.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    got = near.groupBy(key).agg(F.max("dist").alias("worst"), F.avg("dist").alias("mean"), F.countDistinct("j").alias("distinct"))
+    ok = (F.col("worst") < worst) & (F.col("mean") < mean) & (F.col("distinct") == F.col("n"))
+    return n.join(got, key, "left").select(key, F.coalesce(ok, F.lit(False)).alias("ok"))
+
+
+def into_box(atoms: DataFrame, crystals: DataFrame, key: str = "crystal", molecule: str = "mol") -> DataFrame:
+    """Whole molecules moved by lattice vectors so that their centroids lie in the cell."""
+    c = with_cell(crystals).select(key, *(f"f2c_{i}{j}" for i in range(3) for j in range(3)), *(f"c2f_{i}{j}" for i in range(3) for j in range(3)))
+    m = atoms.groupBy(key, molecule).agg(*(F.avg(a).alias(f"c_{a}") for a in "xyz")).join(c, key)
+    f = g.matvec(matrix("c2f"), g.vec("c_x", "c_y", "c_z"))
+    move = g.matvec(matrix("f2c"), tuple(-F.floor(x).cast("double") for x in f))
+    m = m.select(key, molecule, *(x.alias(f"m{a}") for a, x in zip("xyz", move, strict=True)))
+    return atoms.join(m, [key, molecule]).withColumns({a: F.col(a) + F.col(f"m{a}") for a in "xyz"}).drop("mx", "my", "mz")

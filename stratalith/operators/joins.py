@@ -158,3 +158,40 @@ def symmetry_images(structures: DataFrame, ops: DataFrame, key: str = "sg_ind")
     met = structures.join(F.broadcast(ops), key)
     new = {f"f{x}": g.wrap_unit(F.col(f"r{i}1") * F.col("fx") + F.col(f"r{i}2") * F.col("fy") + F.col(f"r{i}3") * F.col("fz") + F.col(f"t{i}")) for i, x in ((1, "x"), (2, "y"), (3, "z"))}
     return met.withColumns(new)
+
+
+def nonbonded_pairs(pairs: DataFrame, bonds: DataFrame, least: int, group: str = "graph") -> DataFrame:
+    """Pairs (i < j) that are ``least`` or more bonds apart, or not connected. bonds: (src, dst) listed both ways."""
+    reach = bonds.select(group, F.col("src").alias("i"), F.col("dst").alias("j")).distinct()
+    near, step = reach, reach
+    for _ in range(least - 2):
+        step = step.join(bonds.select(group, F.col("src").alias("j"), F.col("dst").alias("_n")), [group, "j"]).select(group, "i", F.col("_n").alias("j")).distinct()
+        near = near.unionByName(step)
+    return pairs.filter("i < j").join(near.distinct(), [group, "i", "j"], "left_anti")
+
+
+def typed_pairs(atoms: DataFrame, cutoff: float, *, group: str = "graph", point: str = "point", kind: str = "z") -> DataFrame:
+    """(group, fingerprint): sorted array of (lesser type, greater type, distance in hundredths) of near pairs."""
+    e = radius_join(atoms, atoms, cutoff, group=group, point=point).filter("i < j")
+    for s in "ij":
+        e = e.join(atoms.select(group, F.col(point).alias(s), F.col(kind).alias(f"k{s}")), [group, s])
+    item = F.struct(F.least("ki", "kj").alias("a"), F.greatest("ki", "kj").alias("b"), F.floor(F.col("dist") * 100).cast("int").alias("d"))
+    return e.groupBy(group).agg(F.array_sort(F.collect_list(item)).alias("fingerprint"))
+
+
+def exact_matches(rows: DataFrame, targets: DataFrame, key: str, value: str) -> DataFrame:
+    """Rows whose key equals a target's; the target listed last (greatest ``value``) counts."""
+    last = targets.groupBy(key).agg(F.max(value).alias(value))
+    return rows.join(last, key)
+
+
+def lattice_translations(structures: DataFrame, cutoff: float, key: str, most: int = 8) -> DataFrame:
+    """(key, n0, n1, n2): translations whose cell centres lie within 2 radius + cutoff + 0.1 + half the diagonal; always the zero one. Rows have box vectors ax..cz and ``radius``."""
+    v = [g.vec(f"{r}x", f"{r}y", f"{r}z") for r in "abc"]
+    grid = structures
+    for k in range(3):
+        grid = grid.withColumn(f"n{k}", F.explode(F.sequence(F.lit(-most), F.lit(most))))
+    at = g.add(g.add(g.scale(v[0], F.col("n0")), g.scale(v[1], F.col("n1"))), g.scale(v[2], F.col("n2")))
+    reach = 2 * F.col("radius") + cutoff + 0.1 + g.norm(g.add(g.add(v[0], v[1]), v[2])) / 2
+    zero = (F.col("n0") == 0) & (F.col("n1") == 0) & (F.col("n2") == 0)
+    return grid.filter(zero | (g.norm(at) < reach)).select(key, "n0", "n1", "n2")

@@ -69,3 +69,27 @@ def flatten_struct(df: DataFrame, sep: str = "_") -> DataFrame:
 def pad(array, size: int, fill) -> Column:
     """An array filled up on the right."""
     return F.concat(array, F.array_repeat(F.lit(fill), F.greatest(F.lit(size) - F.size(array), F.lit(0))))
+
+
+def split_units(crystals: DataFrame, units: str = "aunits", index: str = "unit") -> DataFrame:
+    """A row for each molecule of the asymmetric unit."""
+    keep = [c for c in crystals.columns if c != units]
+    return crystals.select(*keep, F.posexplode(units).alias(index, "_u")).select(*keep, index, "_u.*")
+
+
+def join_units(rows: DataFrame, key: str, unit_columns: list[str], units: str = "aunits", index: str = "unit") -> DataFrame:
+    """Inverse of split_units: units in order of their index."""
+    other = [c for c in rows.columns if c not in (key, index, *unit_columns)]
+    g = rows.groupBy(key).agg(*(F.first(c).alias(c) for c in other), F.array_sort(F.collect_list(F.struct(index, *unit_columns))).alias("_u"))
+    return g.withColumn(units, F.transform("_u", lambda u: F.struct(*(u[c].alias(c) for c in unit_columns)))).drop("_u")
+
+
+def canonical_units(units, x: str = "cx", y: str = "cy", z: str = "cz") -> Column:
+    """An array of units sorted by distance from the origin."""
+    keyed = F.transform(units, lambda u: F.struct((u[x] * u[x] + u[y] * u[y] + u[z] * u[z]).alias("d"), u.alias("u")))
+    return F.transform(F.array_sort(keyed), lambda k: k["u"])
+
+
+def allowed_index(value, allowed: list) -> Column:
+    """Position of a type among the allowed ones, else -1."""
+    return F.coalesce(F.array_position(F.array(*(F.lit(a) for a in allowed)), value) - 1, F.lit(-1)).cast("int")
