@@ -37,7 +37,7 @@ SAMPLE, TERMS, LEAST_DOCS, PRECISION, WINDOW, FUZZY_LEAST = 8_000, 200, 6, 0.9,
 #: Fixed: words that report another's words, in the languages of the corpus.
 REPORTING = ("said", "says", "wrote", "called", "quote", "quoted", "sagte", "schrieb", "dit", "dijo", "escribió", "écrit")
 NONE, WORD, NEAR, STEM, NEAR_STEM = range(5)
-FEATURES = ("words", "near_words", "stems", "near_stems", "quoted", "reported", "densest", "share")
+FEATURES = ("hits", "near_words", "stems", "near_stems", "quoted", "reported", "densest", "share")
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
 
@@ -179,7 +179,9 @@ def block_features(automaton: Automaton, reporting: np.ndarray, data: np.ndarray
     n = len(offs) - 1
     out = np.zeros((n, len(FEATURES)))
     doc = np.searchsorted(bounds, hit, side="right") - 1
-    for j, k in enumerate((WORD, NEAR, STEM, NEAR_STEM)):
+    # All hits count alike unless the sample shows otherwise: those of each further kind also have a weight of their own.
+    out[:, 0] = np.bincount(doc, minlength=n)
+    for j, k in enumerate((NEAR, STEM, NEAR_STEM), 1):
         out[:, j] = np.bincount(doc[kind[hit] == k], minlength=n)
     if len(hit):
         # Within straight quotes: an odd number of them before it in its text, and one closes within the window.
@@ -195,7 +197,7 @@ def block_features(automaton: Automaton, reporting: np.ndarray, data: np.ndarray
         out[:, 5] = np.bincount(doc[near], minlength=n)
         dense = np.searchsorted(hit, last, side="right") - np.arange(len(hit))
         np.maximum.at(out[:, 6], doc, dense)
-    out[:, 7] = out[:, :4].sum(1) / np.maximum(np.diff(bounds), 1)
+    out[:, 7] = out[:, 0] / np.maximum(np.diff(bounds), 1)
     out[:, :7] = np.log1p(out[:, :7])
     out[:, 7] = np.sqrt(out[:, 7])
     return out
