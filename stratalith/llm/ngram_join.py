@@ -37,9 +37,13 @@ from .repeats import by_bucket, read, sent
 
 U = np.uint64
 SHINGLE = 5
-CELL_BITS, CELL_PARTS = 22, 32
+CELL_BITS, CELL_PARTS = 23, 32
 MAP_BITS = 26
+#: Postings that a worker holds before it sends them, and bytes of a batch sent to a worker.
+PART_POSTINGS, BATCH_BYTES = 400_000, 8 << 20
 FEW, PIVOTS = 12, 4
+#: Up to so many nodes (8 bytes each) are broadcast to thin out token sets before a check; more are met by shuffle.
+SMALL_NODES = 500_000
 POSTING_PART = "bucket int, sig binary, node binary, n binary, centre binary"
 _K = U(0x9E3779B97F4A7C15)
 
@@ -76,39 +80,44 @@ def nodes_of(token: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 def sets_and_cells(batches):
     """(rid, doc_id, n, node) of each row, and the partition's token counts by cell, packed."""
-    cells = np.zeros(1 << CELL_BITS, np.int64)
+    cells = np.zeros(1 << CELL_BITS, np.uint32)
     names = ["rid", "doc_id", "n", "node", "bucket", "counts"]
     kinds = None
     for batch in batches:
         kinds = batch.column("doc_id").type
-        n, node, seen = [], [], []
+        n, node = [], []
         for _, _, data, offs in tk.blocks(batch.column("text"), 1 << 20):
             token, bounds = block_sets(data, offs)
             n.append(np.diff(bounds))
             node.append(nodes_of(token, bounds))
-            seen.append((token >> U(64 - CELL_BITS)).astype(np.int64))
+            cell, count = np.unique((token >> U(64 - CELL_BITS)).astype(np.int32), return_counts=True)
+            cells[cell] += count.astype(np.uint32)
         if n:
-            cells += np.bincount(np.concatenate(seen), minlength=1 << CELL_BITS)
             rows = batch.num_rows
             yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("doc_id"), pa.array(np.concatenate(n)), pa.array(np.concatenate(node)), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names=names)
     if kinds is not None:
-        for i, part in enumerate(np.split(np.minimum(cells, 0xFFFFFFFF).astype(np.uint32), CELL_PARTS)):
+        for i, part in enumerate(np.split(cells, CELL_PARTS)):
             packed = zlib.compress(part.tobytes(), 1)
             yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, kinds), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([i], pa.int32()), pa.array([packed], pa.binary())], names=names)
 
 
 def add_cells(batches):
-    """Sums of packed counts by part of the cells."""
+    """Binary logarithms of the summed counts, a byte for each cell, by part of the cells."""
     total, at = None, None
+
+    def done():
+        level = np.floor(np.log2(np.maximum(total, 1))).astype(np.uint8)
+        return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([level.tobytes()], pa.binary())], names=["bucket", "levels"])
+
     for batch in batches:
         for i, packed in zip(batch.column("bucket").to_pylist(), batch.column("counts").to_pylist(), strict=True):
             if i != at and at is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["bucket", "counts"])
+                yield done()
                 total = None
             part = np.frombuffer(zlib.decompress(packed), np.uint32).astype(np.int64)
             at, total = i, part if total is None else total + part
     if at is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["bucket", "counts"])
+        yield done()
 
 
 def groups_at(level: int) -> int:
@@ -145,10 +154,15 @@ def signatures(token: np.ndarray, frequent: np.ndarray) -> np.ndarray:
 def index_sets(levels, frequent_level: int, noise: int, buckets: int):
     """Postings of each distinct set of a batch by bucket of the signature."""
 
+    def packed(held):
+        sig, node, n, centre = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
+        return sent(POSTING_PART, (sig % U(buckets)).astype(np.int64), {"sig": sig, "node": node, "n": n, "centre": centre})
+
     def step(batches):
         table = levels.value
         for batch in batches:
-            held, known = [], np.zeros(0, np.int64)
+            held, known, count = [], np.zeros(0, np.int64), 0
             for _, _, data, offs in tk.blocks(batch.column("text"), 1 << 20):
                 token, bounds = block_sets(data, offs)
                 node, n = nodes_of(token, bounds), np.diff(bounds)
@@ -177,11 +191,12 @@ def index_sets(levels, frequent_level: int, noise: int, buckets: int):
                     parts.append((sig, np.full(len(sig), d)))
                 sig, of = (np.concatenate(x) for x in zip(*parts, strict=True))
                 held.append((sig, node[of], n[of].astype(np.uint32), centre[of]))
-            if held:
-                sig, node, n, centre = (np.concatenate(x) for x in zip(*held, strict=True))
-                out = sent(POSTING_PART, (sig % U(buckets)).astype(np.int64), {"sig": sig, "node": node, "n": n, "centre": centre})
-                if out is not None:
-                    yield out
+                count += len(sig)
+                if count > PART_POSTINGS:
+                    yield packed(held)
+                    count = 0
+            if count:
+                yield packed(held)
 
     return step
 
@@ -203,7 +218,7 @@ def shared_signatures(batch: pa.RecordBatch):
 
 
 def emit_sets(wanted):
-    """(node, tokens) of rows whose rid may be wanted."""
+    """(node, tokens) of rows whose rid may be wanted; a node of several rows may come more than once, which only repeats a check."""
 
     def step(batches):
         table = wanted.value
@@ -213,10 +228,10 @@ def emit_sets(wanted):
             if not maybe.any():
                 continue
             some = batch.filter(pa.array(maybe))
-            for lo, hi, data, offs in tk.blocks(some.column("text"), 1 << 20):
+            for _, _, data, offs in tk.blocks(some.column("text"), 1 << 20):
                 token, bounds = block_sets(data, offs)
                 sets = [token[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([some.column("rid").slice(lo, hi - lo), pa.array(nodes_of(token, bounds)), pa.array(sets, pa.binary())], names=["rid", "node", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(nodes_of(token, bounds)), pa.array(sets, pa.binary())], names=["node", "tokens"])
 
     return step
 
@@ -242,16 +257,19 @@ def candidate(a: str, b: str):
 class Join:
     """Links found so far, and the components they make."""
 
-    def __init__(self, sets: DataFrame):
-        self.sets, self.links, self.checked, self.roots = sets, None, None, None
+    def __init__(self):
+        self.links, self.checked, self.roots = None, None, None
 
-    def check(self, pairs: DataFrame) -> None:
+    def check(self, pairs: DataFrame, sets: DataFrame) -> None:
         """pairs: (a, b), each once or more."""
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if self.checked is not None:
             pairs = pairs.join(self.checked, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
-        left, right = (self.sets.select(F.col("node").alias(x), F.col("tokens").alias(f"tokens_{x}")) for x in "ab")
+        few = ends(pairs)
+        if few.limit(SMALL_NODES + 1).count() <= SMALL_NODES:
+            sets = sets.join(F.broadcast(few), "node", "left_semi")
+        left, right = (sets.select(F.col("node").alias(x), F.col("tokens").alias(f"tokens_{x}")) for x in "ab")
         found = materialize(pairs.join(right, "b").join(left, "a").mapInArrow(check_pairs, "a long, b long"), "found")
         self.checked = pairs if self.checked is None else self.checked.unionByName(pairs)
         self.links = found if self.links is None else self.links.unionByName(found)
@@ -275,44 +293,52 @@ class Join:
         return a.join(b, "sig").filter((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & candidate("n_a", "n_b")).select("a", "b")
 
 
-def link(postings: DataFrame, sets: DataFrame) -> DataFrame | None:
-    """(node, root) of all linked nodes. postings: (sig, node, n, centre)."""
-    join = Join(sets)
+def ends(pairs: DataFrame) -> DataFrame:
+    """Distinct nodes of pairs."""
+    return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+
+
+def link(postings: DataFrame, read_sets) -> DataFrame:
+    """(node, root) of all linked nodes. postings: (sig, node, n, centre); read_sets: nodes -> (node, tokens)."""
+    join = Join()
     rows = join.open(postings)
-    join.check(join.pairs_within(rows.filter(F.col("m") <= FEW)))
+    pairs = materialize(join.pairs_within(rows.filter(F.col("m") <= FEW)).distinct(), "candidates")
     rows = rows.filter(F.col("m") > FEW).drop("root", "m")
+    # Token sets are read for nodes that some check may need, and for no others.
+    sets = read_sets(ends(pairs).unionByName(rows.select("node")).distinct())
+    join.check(pairs, sets)
     for _ in range(PIVOTS):
         rows = join.open(rows)
         if rows.isEmpty():
             return join.roots
         pivot = rows.groupBy("sig").agg(F.max(F.struct("centre", "node", "n", "root")).alias("p"))
         met = rows.join(pivot, "sig")
-        join.check(met.filter((F.col("root") != F.col("p.root")) & candidate("n", "p.n")).select(F.col("node").alias("a"), F.col("p.node").alias("b")))
+        join.check(met.filter((F.col("root") != F.col("p.root")) & candidate("n", "p.n")).select(F.col("node").alias("a"), F.col("p.node").alias("b")), sets)
         rows = met.filter(F.col("node") != F.col("p.node")).select("sig", "node", "n", "centre")
     rows = join.open(rows)
     if not rows.isEmpty():
-        join.check(join.pairs_within(rows))
+        join.check(join.pairs_within(rows), sets)
     return join.roots
 
 
 def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(rid, doc_id, root, n_shingles, component_id) of each row; rid: hash of its id and text; root: the component's key."""
     spark = docs.sparkSession
+    # Token sets are long rows: a worker gets few at a time.
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     rows = docs.select(F.xxhash64(F.col(id_col).cast("string"), F.coalesce(F.col(text_col), F.lit(""))).alias("rid"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     total = text_bytes(docs, text_col)
     schema = T.StructType().add("rid", "long").add("doc_id", rows.schema["doc_id"].dataType).add("n", "long").add("node", "long").add("bucket", "integer").add("counts", "binary")
     table = materialize(rows.mapInArrow(sets_and_cells, schema), "sets")
     member = table.filter("bucket IS NULL").select("rid", "doc_id", "n", "node")
-    parts = an.meet(table.filter("bucket IS NOT NULL").select("bucket", "counts"), CELL_PARTS).mapInArrow(add_cells, "bucket int, counts binary").collect()
-    cells = np.zeros((CELL_PARTS, (1 << CELL_BITS) // CELL_PARTS), np.int64)
-    for r in parts:
-        cells[r["bucket"]] = np.frombuffer(r["counts"], np.int64)
-    cells = cells.ravel()
+    parts = an.meet(table.filter("bucket IS NOT NULL").select("bucket", "counts"), CELL_PARTS).mapInArrow(add_cells, "bucket int, levels binary").collect()
     # A table of one byte for each cell, of fixed size, is all that is broadcast.
-    level = np.floor(np.log2(np.maximum(cells, 1))).astype(np.uint8)
-    mean = float(cells.mean())
+    level = np.zeros((CELL_PARTS, (1 << CELL_BITS) // CELL_PARTS), np.uint8)
+    for r in parts:
+        level[r["bucket"]] = np.frombuffer(r["levels"], np.uint8)
+    mean = (member.agg(F.sum("n")).first()[0] or 0) / (1 << CELL_BITS)
     noise = int(np.floor(np.log2(mean + 4 * mean**0.5 + 1)))
-    levels = spark.sparkContext.broadcast(level)
+    levels = spark.sparkContext.broadcast(level.ravel())
     buckets = packed_buckets(total // 6 // 4 * 21)
     few = partitions_for(spark, buckets)
     postings = an.meet(rows.select("text").mapInArrow(index_sets(levels, max(6, noise + 2), noise, buckets), POSTING_PART), few)
@@ -321,20 +347,22 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     alike = postings.groupBy("sig").agg(F.count(F.lit(1)).alias("m"), F.sum(F.hash("node").cast("long")).alias("h"), F.sum(F.hash("node", F.lit(1)).cast("long")).alias("g"))
     once = alike.groupBy("m", "h", "g").agg(F.min("sig").alias("sig")).select("sig")
     postings = materialize(postings.join(once, "sig", "left_semi"), "signatures")
-    # One row stands for each node that has a signature.
-    reps = materialize(member.join(postings.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("rid").alias("rid")), "representatives")
-    at = F.col("rid").bitwiseAND(F.lit((1 << MAP_BITS) - 1)) + 1
-    bits = reps.groupBy(F.bitmap_bucket_number(at).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()
-    wanted = np.zeros(1 << MAP_BITS, bool)
-    for r in bits:
-        wanted[(r["part"] - 1) * 32768 : r["part"] * 32768] = np.unpackbits(np.frombuffer(bytes(r["bits"]), np.uint8), bitorder="little").view(bool)
-    packed = spark.sparkContext.broadcast(Bits(np.packbits(wanted)))
-    sets = rows.select("rid", "text").mapInArrow(emit_sets(packed), "rid long, node long, tokens binary")
-    sets = materialize(sets.join(reps, ["rid", "node"], "left_semi").dropDuplicates(["node"]).select("node", "tokens"), "token-sets")
-    roots = link(postings, sets)
-    rows = member.join(roots, "node", "left").withColumn("root", F.when(F.col("n") > 0, F.coalesce("root", "node")))
-    least = rows.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"))
-    return rows.join(least, "root", "left").select("rid", "doc_id", F.coalesce("root", "rid").alias("root"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+
+    def read_sets(nodes: DataFrame) -> DataFrame:
+        """One row stands for each node; a bit map of fixed size tells which rows may be asked for, others that share a bit are never joined."""
+        reps = member.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("rid").alias("rid"))
+        at = F.col("rid").bitwiseAND(F.lit((1 << MAP_BITS) - 1)) + 1
+        bits = reps.groupBy(F.bitmap_bucket_number(at).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()
+        packed = np.zeros((1 << MAP_BITS) // 8, np.uint8)
+        for r in bits:
+            packed[(r["part"] - 1) * 4096 : r["part"] * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
+        wanted = spark.sparkContext.broadcast(Bits(packed))
+        return materialize(rows.select("rid", "text").mapInArrow(emit_sets(wanted), "node long, tokens binary"), "token-sets")
+
+    roots = link(postings, read_sets)
+    out = member.join(roots, "node", "left").withColumn("root", F.when(F.col("n") > 0, F.coalesce("root", "node")))
+    least = out.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"))
+    return out.join(least, "root", "left").select("rid", "doc_id", F.coalesce("root", "rid").alias("root"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -355,7 +383,7 @@ class Bits:
         self.packed = packed
 
     def __getitem__(self, at: np.ndarray) -> np.ndarray:
-        return (self.packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+        return (self.packed[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
 def op2_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
