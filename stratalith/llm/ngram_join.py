@@ -41,7 +41,7 @@ CELL_BITS, CELL_PARTS = 23, 32
 MAP_BITS = 26
 #: Postings that a worker holds before it sends them, and bytes of a batch sent to a worker.
 PART_POSTINGS, BATCH_BYTES = 400_000, 8 << 20
-FEW, PIVOTS = 12, 4
+FEW, PIVOTS = 12, 2
 #: Up to so many nodes (8 bytes each) are broadcast to thin out token sets before a check; more are met by shuffle.
 SMALL_NODES = 500_000
 POSTING_PART = "bucket int, sig binary, node binary, n binary, centre binary"
@@ -255,10 +255,10 @@ def candidate(a: str, b: str):
 
 
 class Join:
-    """Links found so far, and the components they make."""
+    """Pairs checked so far, and the components their links make."""
 
     def __init__(self):
-        self.links, self.checked, self.roots = None, None, None
+        self.checked, self.roots = None, None
 
     def check(self, pairs: DataFrame, sets: DataFrame) -> None:
         """pairs: (a, b), each once or more."""
@@ -272,8 +272,19 @@ class Join:
         left, right = (sets.select(F.col("node").alias(x), F.col("tokens").alias(f"tokens_{x}")) for x in "ab")
         found = materialize(pairs.join(right, "b").join(left, "a").mapInArrow(check_pairs, "a long, b long"), "found")
         self.checked = pairs if self.checked is None else self.checked.unionByName(pairs)
-        self.links = found if self.links is None else self.links.unionByName(found)
-        self.roots = components(self.links)
+        if self.roots is None:
+            self.roots = components(found)
+            return
+        # Later links only join components: they are contracted to links of roots, most often none.
+        for x in "ab":
+            found = found.join(self.roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")), x, "left").withColumn(x, F.coalesce(f"root_{x}", x)).drop(f"root_{x}")
+        found = materialize(found.filter("a <> b").distinct(), "contracted")
+        if found.isEmpty():
+            return
+        merged = components(found).select(F.col("node").alias("root"), F.col("root").alias("top"))
+        old = self.roots.join(merged, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+        fresh = merged.join(self.roots.select("root").distinct(), "root", "left_anti").select(F.col("root").alias("node"), F.col("top").alias("root"))
+        self.roots = materialize(old.unionByName(fresh), "roots")
 
     def labelled(self, postings: DataFrame) -> DataFrame:
         """With each node's root."""
