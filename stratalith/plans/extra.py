@@ -21,7 +21,7 @@ from ..operators import latent as lt
 from ..operators import layout as lay
 from ..operators import sets as st
 from ..sources import text as tx
-from .base import PAIRS_SQL, POINTS_SQL, points, query, r6, table
+from .base import ORACLE_SQL, PAIRS_SQL, POINTS_SQL, points, query, r6, table
 from .spatial import CELL_SQL, cells
 
 
@@ -106,7 +106,16 @@ SELECT pair, CASE WHEN dx > r1 + r2 THEN true ELSE false END AS apart, true AS c
 """)
 def ellipsoid_overlap(spark, sf):
     """Seeded probes against the closed form of two spheres, within four standard errors."""
-    s = table(spark, sf, "part").filter("p_partkey <= 300").select(F.col("p_partkey").alias("pair"), (1.0 + F.col("p_size") % 3).alias("s1"), (F.col("p_partkey") % 50 / 10.0).alias("dx"))
+    return overlaps(table(spark, sf, "part").filter("p_partkey <= 300"))
+
+
+@query(ORACLE_SQL["ellipsoid_overlap"].replace(" WHERE p_partkey <= 300", ""))
+def ellipsoid_overlap_all(spark, sf):
+    return overlaps(table(spark, sf, "part"))
+
+
+def overlaps(part):
+    s = part.select(F.col("p_partkey").alias("pair"), (1.0 + F.col("p_size") % 3).alias("s1"), (F.col("p_partkey") % 50 / 10.0).alias("dx"))
     pairs = s.select("pair", *(F.col("s1").alias(a) for a in ("p1", "q1", "r1")), *(F.lit(1.0).alias(a) for a in ("p2", "q2", "r2")), "dx", F.lit(0.0).alias("dy"), F.lit(0.0).alias("dz"))
     got = el.ellipsoid_overlap(pairs, 400).join(s, "pair")
     whole, exact = g.sphere_volume("s1"), g.lens_volume(F.col("s1"), F.lit(1.0), F.col("dx"))
@@ -118,7 +127,16 @@ def ellipsoid_overlap(spark, sf):
 @query("SELECT p_partkey AS mol, true AS close FROM part WHERE p_partkey <= 100")
 def grid_volume(spark, sf):
     """Grid integration of a sphere against its closed form, within 3 %."""
-    a = table(spark, sf, "part").filter("p_partkey <= 100").select(F.col("p_partkey").alias("mol"), (F.col("p_partkey") / 7).alias("x"), F.lit(0.3).alias("y"), F.lit(-1.7).alias("z"), (1.2 + F.col("p_size") % 5 / 10.0).alias("r"))
+    return volumes(table(spark, sf, "part").filter("p_partkey <= 100"))
+
+
+@query(ORACLE_SQL["grid_volume"].replace(" WHERE p_partkey <= 100", ""))
+def grid_volume_all(spark, sf):
+    return volumes(table(spark, sf, "part"))
+
+
+def volumes(part):
+    a = part.select(F.col("p_partkey").alias("mol"), (F.col("p_partkey") / 7).alias("x"), F.lit(0.3).alias("y"), F.lit(-1.7).alias("z"), (1.2 + F.col("p_size") % 5 / 10.0).alias("r"))
     out = el.grid_volume(a, "mol", 0.15).join(a, "mol")
     return out.select("mol", (F.abs(F.col("volume") / g.sphere_volume("r") - 1) < 0.03).alias("close"))
 

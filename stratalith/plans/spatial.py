@@ -20,7 +20,7 @@ from ..operators import rdf as rd
 from ..operators.windows import carry_forward
 from ..sources import text as tx
 from ..streaming import incremental as inc
-from .base import PAIRS_SQL, POINTS_SQL, points, query, r6, table
+from .base import ORACLE_SQL, PAIRS_SQL, POINTS_SQL, points, query, r6, table
 
 CUT = 0.3
 
@@ -91,7 +91,16 @@ d AS (SELECT a.graph, a.point AS i, b.point AS j, sx, sy, sz, b.x + sx * 2.0 + s
 SELECT graph, i, j, sx, sy, sz, round({SHIFTED}, 6) AS dist FROM d WHERE {SHIFTED} < 0.7 AND (i <> j OR sx <> 0 OR sy <> 0 OR sz <> 0)
 """)
 def periodic_neighbours(spark, sf):
-    p = table(spark, sf, "embeddings").filter("vec_id < 150").select(F.col("label").alias("graph"), F.col("vec_id").alias("point"), *((F.col("embedding")[i].cast("double") * 3).alias(a) for i, a in enumerate("xyz")))
+    return lattice_neighbours(table(spark, sf, "embeddings").filter("vec_id < 150"))
+
+
+@query(ORACLE_SQL["periodic_neighbours"].replace(" WHERE vec_id < 150", ""))
+def periodic_neighbours_all(spark, sf):
+    return lattice_neighbours(table(spark, sf, "embeddings"))
+
+
+def lattice_neighbours(embeddings: DataFrame) -> DataFrame:
+    p = embeddings.select(F.col("label").alias("graph"), F.col("vec_id").alias("point"), *((F.col("embedding")[i].cast("double") * 3).alias(a) for i, a in enumerate("xyz")))
     cell = {"ax": 2.0, "ay": 0.0, "az": 0.0, "bx": 0.3, "by": 2.2, "bz": 0.0, "cx": 0.0, "cy": 0.1, "cz": 2.4}
     cells = p.select("graph").distinct().select("graph", *(F.lit(v).alias(k) for k, v in cell.items()))
     return r6(jn.periodic_neighbours(p, cells, 0.7), "dist")
@@ -102,7 +111,17 @@ WITH b AS (SELECT DISTINCT l_orderkey AS a, l_suppkey AS c FROM lineitem WHERE l
 SELECT x.a AS i, y.a AS k, count(*)::BIGINT AS n FROM b x JOIN b y ON x.c = y.c AND x.a < y.a GROUP BY 1, 2
 """)
 def self_bond_angles(spark, sf):
-    e = table(spark, sf, "lineitem").filter("l_orderkey < 4000").select(F.col("l_orderkey").alias("src"), F.col("l_suppkey").alias("dst")).distinct()
+    return supplier_angles(table(spark, sf, "lineitem").filter("l_orderkey < 4000"))
+
+
+@query()
+def self_bond_angles_all(spark, sf):
+    """All orders. As many rows as pairs of orders with one supplier, so there is no SQL; tested by brute force."""
+    return supplier_angles(table(spark, sf, "lineitem"))
+
+
+def supplier_angles(lineitem: DataFrame) -> DataFrame:
+    e = lineitem.select(F.col("l_orderkey").alias("src"), F.col("l_suppkey").alias("dst")).distinct()
     half = e.select("src", F.concat(F.lit("s"), "dst").alias("dst"))
     both = half.select(F.col("src").cast("string").alias("src"), "dst").unionByName(half.select(F.col("dst").alias("src"), F.col("src").cast("string").alias("dst")))
     a = jn.angle_paths(both).filter(F.col("centre").startswith("s"))
@@ -401,7 +420,16 @@ w AS (SELECT 1 AS k, [point] AS kept FROM r WHERE k = 1
 SELECT unnest(kept) AS point FROM w WHERE k = (SELECT max(k) FROM r)
 """)
 def greedy_anchors(spark, sf):
-    p = points(spark, sf).filter("point < 200")
+    return anchors_by_x(points(spark, sf).filter("point < 200"))
+
+
+@query()
+def greedy_anchors_all(spark, sf):
+    """All points. The recursive SQL goes point by point, so there is none; tested by brute force."""
+    return anchors_by_x(points(spark, sf))
+
+
+def anchors_by_x(p: DataFrame) -> DataFrame:
     e = jn.radius_join(p, p, 0.2, group=None).filter("i <> j").select(F.col("i").alias("a"), F.col("j").alias("b"))
     return cl.greedy_anchors(p, e, "x", "point")
 
@@ -493,9 +521,18 @@ SELECT name, atom, 'C' AS symbol, 6 AS z, round(x, 3) AS x, q FROM (SELECT l_ord
 """)
 def xyz_parse(spark, sf):
     """Atoms written as XYZ texts and read back."""
-    li = table(spark, sf, "lineitem").filter("l_orderkey <= 500")
+    return through_xyz(table(spark, sf, "lineitem").filter("l_orderkey <= 500"))
+
+
+@query(ORACLE_SQL["xyz_parse"].replace(" WHERE l_orderkey <= 500", "").replace("l_linenumber, l_partkey)", "l_linenumber, l_partkey, l_quantity, l_tax)"))
+def xyz_parse_all(spark, sf):
+    """Whole tables hold rows alike in line and part; these go by quantity and tax."""
+    return through_xyz(table(spark, sf, "lineitem"))
+
+
+def through_xyz(li: DataFrame) -> DataFrame:
     line = F.concat(F.lit("C\t"), F.col("l_quantity").cast("string"), F.lit("\t0\t0\t"), F.col("l_tax").cast("string"))
-    t = li.groupBy(F.col("l_orderkey").alias("name")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", line.alias("s")))).alias("rows"))
+    t = li.groupBy(F.col("l_orderkey").alias("name")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity", "l_tax", line.alias("s")))).alias("rows"))
     t = t.select("name", F.concat(F.size("rows").cast("string"), F.lit("\ngdb 1\t2.5\n"), F.array_join(F.transform("rows", lambda r: r["s"]), "\n"), F.lit("\n1.0\nCCO\tCCO\nInChI\n")).alias("value"))
     _, atoms = tx.read_xyz(t)
     return r6(atoms.select("name", "atom", "symbol", "z", "x", "q"), "x", digits=3)
@@ -506,12 +543,21 @@ SELECT event_type AS name, event_id AS step, round(value, 4) AS temp FROM (SELEC
 """)
 def thermo_log(spark, sf):
     """Log rows between Step and Loop lines, written and read back; each step is written twice and the last stays."""
-    e = table(spark, sf, "events").filter("event_id < 500")
+    return through_log(table(spark, sf, "events").filter("event_id < 500"))
+
+
+@query(ORACLE_SQL["thermo_log"].replace(" WHERE event_id < 500", ""))
+def thermo_log_all(spark, sf):
+    """A log for each type and 500 event ids, so that no text grows with the table."""
+    return through_log(table(spark, sf, "events"))
+
+
+def through_log(e: DataFrame) -> DataFrame:
     row = F.concat_ws(" ", F.col("event_id").cast("string"), F.format_string("%.4f", F.col("value")))
-    rows = e.groupBy(F.col("event_type").alias("name")).agg(F.array_sort(F.collect_list(F.struct("event_id", row.alias("s")))).alias("r"))
+    rows = e.groupBy(F.concat("event_type", F.lit("#"), F.floor(F.col("event_id") / 500).cast("string")).alias("name")).agg(F.array_sort(F.collect_list(F.struct("event_id", row.alias("s")))).alias("r"))
     twice = F.flatten(F.transform("r", lambda x: F.array(F.concat(x["event_id"].cast("string"), F.lit(" 0.0")), x["s"])))
     t = rows.select("name", F.concat(F.lit("units real\nStep Temp\n"), F.array_join(twice, "\n"), F.lit("\nLoop time of 1\n12 13\n")).alias("value"))
-    return r6(tx.read_thermo(t).select("name", "step", F.col("values")[1].alias("temp")), "temp", digits=4)
+    return r6(tx.read_thermo(t).select(F.regexp_replace("name", "#[^#]*$", "").alias("name"), "step", F.col("values")[1].alias("temp")), "temp", digits=4)
 
 
 @query("SELECT event_type, date_trunc('hour', ts) AS start, count(*)::BIGINT AS n FROM events GROUP BY 1, 2")
