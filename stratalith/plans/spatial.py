@@ -385,10 +385,25 @@ def symmetry_expansion(spark, sf):
     return r6(jn.symmetry_images(f, ops).select("p_partkey", "op", "fx", "fy", "fz"), "fx", "fy", "fz")
 
 
-def molecules_and_crystals(spark, sf, n: int):
-    atoms = table(spark, sf, "embeddings").filter(F.col("vec_id") < n).select(F.col("vec_id").alias("crystal"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("atom"), "embedding")
-    atoms = atoms.select("crystal", "atom", *((F.element_at("embedding", F.col("atom") * 3 + i + 1).cast("double") * 4).alias(a) for i, a in enumerate("xyz")))
-    c = cells(spark, sf).filter(F.col("p_partkey") <= n).select((F.col("p_partkey") - 1).alias("crystal"), "a", "b", "c", "alpha", "beta", "gamma", F.lit(2).alias("sg_ind"))
+def molecules(spark, sf):
+    """(vec_id, atom, x, y, z): five atoms of each embedding."""
+    atoms = table(spark, sf, "embeddings").select("vec_id", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("atom"), "embedding")
+    return atoms.select("vec_id", "atom", *((F.element_at("embedding", F.col("atom") * 3 + i + 1).cast("double") * 4).alias(a) for i, a in enumerate("xyz")))
+
+
+def molecules_and_crystals(spark, sf):
+    """A crystal for each part and each embedding, whichever are more; the fewer are used in turn."""
+    ends = {}
+    for name, key in (("part", "p_partkey"), ("embeddings", "vec_id")):
+        low, high, n = table(spark, sf, name).agg(F.min(key), F.max(key), F.countDistinct(key)).first()
+        if n and high - low + 1 != n:
+            raise ValueError(f"keys of {name} have gaps")
+        ends[name] = (low or 0, n)
+    (p0, parts), (v0, vectors) = ends["part"], ends["embeddings"]
+    n = max(parts, vectors) if parts and vectors else 0
+    one = spark.range(n).select(F.col("id").alias("crystal"), (F.col("id") % max(parts, 1) + p0).alias("p_partkey"), (F.col("id") % max(vectors, 1) + v0).alias("vec_id"))
+    atoms = one.select("crystal", "vec_id").join(molecules(spark, sf), "vec_id").drop("vec_id")
+    c = one.select("crystal", "p_partkey").join(cells(spark, sf), "p_partkey").select("crystal", "a", "b", "c", "alpha", "beta", "gamma", F.lit(2).alias("sg_ind"))
     u = {f"f{a}": 0.1 + 0.3 * m.hashed_uniform(F.lit(a), F.col("crystal")) for a in "xyz"} | {f"o{a}": m.hashed_uniform(F.lit("o" + a), F.col("crystal")) for a in "xyz"}
     ops = spark.createDataFrame([(2, 0, "x,y,z"), (2, 1, "-x,-y,-z")], "sg_ind int, op int, s string")
     ops = ops.select("sg_ind", "op", *(e.alias(k) for k, e in tb.parse_symmetry(F.col("s")).items()))
@@ -398,7 +413,7 @@ def molecules_and_crystals(spark, sf, n: int):
 @query()
 def crystal_build_round_trip(spark, sf):
     """Pose, unit cell, cluster and back: the found centroid is the one that was set. No SQL; tested for equality."""
-    atoms, crystals, ops = molecules_and_crystals(spark, sf, 100)
+    atoms, crystals, ops = molecules_and_crystals(spark, sf)
     cell = cr.unit_cell(cr.pose(atoms, crystals), crystals, ops)
     boxes = spark.createDataFrame([(2, 0.5, 1.0, 1.0)], "sg_ind int, ax double, ay double, az double")
     back = cr.reparametrise(cell, crystals, boxes)
@@ -409,7 +424,7 @@ def crystal_build_round_trip(spark, sf):
 @query()
 def random_crystal_search(spark, sf):
     """Best of seeded attempts by penalty."""
-    mol = table(spark, sf, "part").filter("p_partkey <= 200").select("p_partkey", (F.col("p_retailprice") / 10).alias("mol_volume"), F.lit(4).alias("sym_mult"))
+    mol = table(spark, sf, "part").select("p_partkey", (F.col("p_retailprice") / 10).alias("mol_volume"), F.lit(4).alias("sym_mult"))
     return r6(cr.best_attempt(mol, "p_partkey", lambda d: d.withColumn("score", g.reduction_penalty(F.lit("triclinic"), *cr.CELL)), 5, 3).select("p_partkey", "attempt", "score"), "score")
 
 
@@ -498,10 +513,10 @@ def internal_prior(spark, sf):
 @query()
 def conformer_trees(spark, sf):
     """Spanning trees and internal coordinates of small molecules from inferred bonds."""
-    atoms, _, _ = molecules_and_crystals(spark, sf, 50)
-    bonds = atoms.select(F.col("crystal").alias("mol"), (F.col("atom") - 1).alias("src"), F.col("atom").alias("dst")).filter("src >= 0")
-    tree = cf.spanning_trees(bonds, atoms.groupBy(F.col("crystal").alias("mol")).agg(F.count(F.lit(1)).alias("n")))
-    return r6(cf.measure(atoms.withColumnRenamed("crystal", "mol"), tree), "length", "angle", "torsion")
+    atoms = molecules(spark, sf).withColumnRenamed("vec_id", "mol")
+    bonds = atoms.select("mol", (F.col("atom") - 1).alias("src"), F.col("atom").alias("dst")).filter("src >= 0")
+    tree = cf.spanning_trees(bonds, atoms.groupBy("mol").agg(F.count(F.lit(1)).alias("n")))
+    return r6(cf.measure(atoms, tree), "length", "angle", "torsion")
 
 
 @query("""
