@@ -53,22 +53,29 @@ def unit_cell(atoms: DataFrame, crystals: DataFrame, ops: DataFrame, key: str =
     return rows.withColumns(dict(zip("xyz", out, strict=True))).select(key, F.col("op").alias("image"), *[c for c in atoms.columns if c != key])
 
 
-def cluster(cell_atoms: DataFrame, crystals: DataFrame, cutoff: float, key: str = "crystal", shifts: int = 2) -> DataFrame:
+def cluster(cell_atoms: DataFrame, crystals: DataFrame, cutoff: float, key: str = "crystal", most: int = 8) -> DataFrame:
     """Images of the unit cell's molecules near the first one: adds mol (copy) and aux: 0 the molecule itself, 1 near, and none beyond cutoff + 2 radius + 0.1.
 
-    Whole molecules are kept or left out by their centroids, before any atom is copied.
+    Whole molecules are kept or left out by their centroids, before any atom is copied. Each axis gets the shifts that
+    the reach, the spacing of its planes and the image's offset need (``most`` is checked, never cut off).
     """
-    c = with_cell(crystals).select(key, *(f"f2c_{i}{j}" for i in range(3) for j in range(3)))
+    c = with_cell(crystals).select(key, *(f"{f}_{i}{j}" for f in ("f2c", "c2f") for i in range(3) for j in range(3)))
     mol = centroids(cell_atoms.withColumn("_m", F.struct(key, "image")), "_m").select(F.col(f"_m.{key}").alias(key), F.col("_m.image").alias("image"), "c_x", "c_y", "c_z")
     first = mol.groupBy(key).agg(F.min_by(F.struct("c_x", "c_y", "c_z"), "image").alias("o"), F.min("image").alias("first"))
     size = radii(cell_atoms.withColumn("_m", F.struct(key, "image")), "_m").groupBy(F.col(f"_m.{key}").alias(key)).agg(F.max("radius").alias("radius"))
     grid = mol.join(c, key).join(first, key).join(size, key)
+    reach = cutoff + 2 * F.col("radius") + 0.1
+    offset = g.matvec(matrix("c2f"), tuple(F.col(f"c_{x}") - F.col(f"o.c_{x}") for x in "xyz"))
+    wide = [reach * g.norm(row) + 1e-9 for row in matrix("c2f")]
+    grid = grid.withColumns({f"lo{k}": F.ceil(-wide[k] - offset[k]).cast("int") for k in range(3)} | {f"hi{k}": F.floor(wide[k] - offset[k]).cast("int") for k in range(3)})
+    ok = F.assert_true(F.greatest(*(F.abs(f"{e}{k}") for e in ("lo", "hi") for k in range(3))) <= most, F.lit(f"a cell needs more than {most} shifts along an axis"))
+    grid = grid.withColumn("_ok", ok).filter(F.col("_ok").isNull() & (F.col("lo0") <= F.col("hi0")) & (F.col("lo1") <= F.col("hi1")) & (F.col("lo2") <= F.col("hi2")))
     for k in range(3):
-        grid = grid.withColumn(f"n{k}", F.explode(F.sequence(F.lit(-shifts), F.lit(shifts))))
+        grid = grid.withColumn(f"n{k}", F.explode(F.sequence(f"lo{k}", f"hi{k}")))
     move = g.matvec(matrix("f2c"), tuple(F.col(f"n{k}").cast("double") for k in range(3)))
     at = tuple(F.col(f"c_{x}") + m - F.col(f"o.c_{x}") for x, m in zip("xyz", move, strict=True))
     same = (F.col("image") == F.col("first")) & (F.abs("n0") + F.abs("n1") + F.abs("n2") == 0)
-    near = grid.filter(same | (g.norm(at) < cutoff + 2 * F.col("radius") + 0.1))
+    near = grid.filter(same | (g.norm(at) < reach))
     near = near.select(key, "image", "n0", "n1", "n2", *(m.alias(f"m{x}") for x, m in zip("xyz", move, strict=True)), F.when(same, 0).otherwise(1).alias("aux"))
     out = cell_atoms.join(near, [key, "image"]).withColumns({x: F.col(x) + F.col(f"m{x}") for x in "xyz"})
     return out.drop("mx", "my", "mz")

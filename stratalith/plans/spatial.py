@@ -417,7 +417,7 @@ def crystal_build_round_trip(spark, sf):
     cell = cr.unit_cell(cr.pose(atoms, crystals), crystals, ops)
     boxes = spark.createDataFrame([(2, 0.5, 1.0, 1.0)], "sg_ind int, ax double, ay double, az double")
     back = cr.reparametrise(cell, crystals, boxes)
-    near = cr.cluster(cell, crystals, 4.0, shifts=1).groupBy("crystal").agg(F.count(F.lit(1)).alias("cluster_atoms"))
+    near = cr.cluster(cell, crystals, 4.0).groupBy("crystal").agg(F.count(F.lit(1)).alias("cluster_atoms"))
     return r6(back.join(crystals.select("crystal", *(F.col(f"f{a}").alias(f"set_{a}") for a in "xyz")), "crystal").join(near, "crystal"), "fx", "fy", "fz", "set_x", "set_y", "set_z")
 
 
