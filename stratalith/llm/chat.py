@@ -4,9 +4,10 @@ For every participant of a conversation the dialogue is rendered once with that
 assistant and all others as named users; the mask covers the assistant's turns only. A participant
 is a role other than the system's; system turns are context in each rendering and never masked.
 
-A conversation is cut into examples of ``turns_per_example`` consecutive turn numbers, so that a very
-long one is spread over many rows; no turn is lost. A null or negative turn belongs to example 0 or
-the negative examples by floor division; null turns come first.
+The query renders each dialogue whole. Pieces of ``turns_per_example`` consecutive turn numbers are rendered apart and
+joined for each speaker, so that the turns of a very long dialogue meet only as finished text. ``rotate_perspectives`` alone
+gives the pieces as examples of their own: a null or negative turn belongs to example 0 or the negative examples by floor
+division. Null turns come first.
 
 Defined results: a null text is empty; a null or empty role is ``unknown``; rows alike in all columns
 stay as turns of their own, ordered by (turn, role, text); a conversation with system turns only gives no row;
@@ -23,9 +24,13 @@ TURNS_PER_EXAMPLE = 64
 
 def rotate_perspectives(turns: DataFrame, *, turns_per_example: int = TURNS_PER_EXAMPLE, system_role: str = "system") -> DataFrame:
     """(conv_id, example, speaker, n_turns, text, mask): mask is an array of (start, stop) code point ranges of ``text``."""
+    return render(turns, F.coalesce(F.floor(F.col("turn") / F.lit(turns_per_example)), F.lit(0)), system_role)
+
+
+def render(turns: DataFrame, example, system_role: str) -> DataFrame:
     t = turns.select(
         "conv_id",
-        F.coalesce(F.floor(F.col("turn") / F.lit(turns_per_example)), F.lit(0)).cast("long").alias("example"),
+        example.cast("long").alias("example"),
         F.col("turn").cast("long").alias("turn"),
         F.when(F.coalesce("role", F.lit("")) == "", F.lit("unknown")).otherwise(F.col("role")).alias("role"),
         F.coalesce("text", F.lit("")).alias("text"),
@@ -59,9 +64,30 @@ def rotate_perspectives(turns: DataFrame, *, turns_per_example: int = TURNS_PER_
     )
 
 
+def rotate_whole(turns: DataFrame, *, turns_per_piece: int = TURNS_PER_EXAMPLE, system_role: str = "system") -> DataFrame:
+    """The columns of ``rotate_perspectives`` with one row for each conversation and speaker; example is 0."""
+    # Null turns are a piece before all others.
+    at = F.floor(F.col("turn").cast("long") / F.lit(turns_per_piece)).cast("long")
+    pieces = render(turns, F.coalesce(at, F.lit(-(1 << 62))), system_role)
+    span = F.struct("example", "n_turns", "text", "mask")
+    rows = pieces.groupBy("conv_id", "speaker").agg(F.array_sort(F.collect_list(span)).alias("pieces"))
+    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,stop:bigint>>").alias("mask"))
+
+    def step(acc, p):
+        moved = F.transform(p["mask"], lambda m: F.struct((m["start"] + acc["at"]).alias("start"), (m["stop"] + acc["at"]).alias("stop")))
+        return F.struct((acc["at"] + F.length(p["text"])).alias("at"), F.concat(acc["mask"], moved).alias("mask"))
+
+    return rows.select(
+        "conv_id", F.lit(0).cast("long").alias("example"), "speaker",
+        F.aggregate("pieces", F.lit(0).cast("long"), lambda n, p: n + p["n_turns"]).alias("n_turns"),
+        F.array_join(F.transform("pieces", lambda p: p["text"]), "").alias("text"),
+        F.aggregate("pieces", zero, step)["mask"].alias("mask"),
+    )
+
+
 def op9_rotate_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mask as text, ``start-stop`` joined by commas."""
-    out = rotate_perspectives(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    out = rotate_whole(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
     spans = F.array_join(F.transform("mask", lambda m: F.concat_ws("-", m["start"].cast("string"), m["stop"].cast("string"))), ",")
     return out.withColumn("mask", spans)
 
