@@ -9,7 +9,7 @@ part equal (anchor, context) pairs are met once (``local``), so an anchor that a
 reaches its bucket once for each part. In a bucket, occurrences with equal contexts are settled at once: all
 runs through them are repeats. Only one occurrence for each further context of an anchor is looked at closer.
 
-A row is told by (id, tie): its id and 31 bits of a hash of its text. A null id is the least one.
+A row is told by (id, tie): its id and a 64-bit hash of its text. A null id is the least one.
 """
 
 from __future__ import annotations
@@ -114,15 +114,15 @@ def pack(**arrays: np.ndarray) -> dict[str, bytes]:
 def row_id(id_col: str, text_col: str):
     """(id, tie) of a row as columns."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.xxhash64(text).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("tie")
+    return F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.xxhash64(text).alias("tie")
 
 
 def doc_bucket(buckets: int):
-    return F.pmod(F.pmod(F.col("id"), F.lit(buckets)) + F.col("tie"), F.lit(buckets)).cast("int").alias("bucket")
+    return F.pmod(F.pmod(F.col("id"), F.lit(buckets)) + F.pmod(F.col("tie"), F.lit(buckets)), F.lit(buckets)).cast("int").alias("bucket")
 
 
 def doc_bucket_of(ids: np.ndarray, ties: np.ndarray, buckets: int) -> np.ndarray:
-    return ((ids % buckets + ties) % buckets).astype(np.int64)
+    return ((ids % buckets + ties % buckets) % buckets).astype(np.int64)
 
 
 def meet(parts: DataFrame, partitions: int, *order: str) -> DataFrame:

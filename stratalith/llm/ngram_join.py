@@ -355,8 +355,11 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     postings = an.meet(rows.select("text").mapInArrow(index_sets(levels, max(6, noise + 2), noise, buckets), POSTING_PART), few)
     postings = materialize(postings.mapInArrow(by_bucket(shared_signatures), "sig long, node long, n long, centre int"), "postings")
     # Signatures with equal members say the same.
-    alike = postings.groupBy("sig").agg(F.count(F.lit(1)).alias("m"), F.sum(F.hash("node").cast("long")).alias("h"), F.sum(F.hash("node", F.lit(1)).cast("long")).alias("g"))
-    once = alike.groupBy("m", "h", "g").agg(F.min("sig").alias("sig")).select("sig")
+    # Sums of two independent 64-bit hashes, by halves so that no sum overflows.
+    hashes = [F.xxhash64(F.lit(i), "node") for i in (1, 2)]
+    halves = [F.sum(x) for h in hashes for x in (F.shiftright(h, 32), h.bitwiseAND(F.lit(0xFFFFFFFF)))]
+    alike = postings.groupBy("sig").agg(F.count(F.lit(1)).alias("m"), *(x.alias(f"h{i}") for i, x in enumerate(halves)))
+    once = alike.groupBy("m", *(f"h{i}" for i in range(len(halves)))).agg(F.min("sig").alias("sig")).select("sig")
     postings = materialize(postings.join(once, "sig", "left_semi"), "signatures")
 
     def read_sets(nodes: DataFrame) -> DataFrame:

@@ -116,10 +116,10 @@ def compare_anchors(runs: Runs, doc_buckets: int) -> Callable:
 
     def one(batch: pa.RecordBatch):
         done = batch.filter(batch.column("settled"))
-        ids, ties, pos = read(done, "id", np.int64), read(done, "tie", np.int32), read(done, "pos", np.uint32)
+        ids, ties, pos = read(done, "id", np.int64), read(done, "tie", np.int64), read(done, "pos", np.uint32)
         yield sent(SPOT_PART, an.doc_bucket_of(ids, ties, doc_buckets), {"id": ids, "tie": ties, "pos": pos}, kind=SETTLED)
         rest = batch.filter(pc.invert(batch.column("settled")))
-        a, c, ids, ties, pos = (read(rest, n, k) for n, k in (("a", U), ("c", U), ("id", np.int64), ("tie", np.int32), ("pos", np.uint32)))
+        a, c, ids, ties, pos = (read(rest, n, k) for n, k in (("a", U), ("c", U), ("id", np.int64), ("tie", np.int64), ("pos", np.uint32)))
         order = np.argsort(a, kind="stable")
         new = an.first_of_groups(a[order])
         many = np.bincount(np.cumsum(new) - 1)[np.cumsum(new) - 1] > 1 if len(a) else new
@@ -195,7 +195,7 @@ def index(parts: list[pa.RecordBatch]) -> dict[tuple[int, int], dict[str, np.nda
         return {}
     kind = np.concatenate([np.repeat(np.int8(k), len(x or b"") // 8) for p in parts for k, x in zip(p.column("kind").to_pylist(), p.column("ids").to_pylist(), strict=True)])
     cols = {"kind": kind}
-    for name, column, t in (("id", "ids", np.int64), ("tie", "ties", np.int32), ("pos", "pos", np.uint32)):
+    for name, column, t in (("id", "ids", np.int64), ("tie", "ties", np.int64), ("pos", "pos", np.uint32)):
         cols[name] = np.concatenate([read(p, column, t) for p in parts])
     # Hashes only with CLOSER, ends only with RUN.
     for name, t, of in (("a", U, CLOSER), ("stop", np.uint32, RUN)):
@@ -236,7 +236,7 @@ def read_contexts(runs: Runs, buckets: int) -> Callable:
             padded[side : side + len(sym)] = sym
             context = np.lib.stride_tricks.sliding_window_view(padded, side * 2 + runs.gram)[pos]
             sides = np.stack([np.minimum(pos, side), np.minimum(len(sym) - pos - runs.gram, side)], 1).astype(np.uint16)
-            held.append((at["a"], np.full(len(pos), key[0], np.int64), np.full(len(pos), key[1], np.int32), at["pos"], sides, context))
+            held.append((at["a"], np.full(len(pos), key[0], np.int64), np.full(len(pos), key[1], np.int64), at["pos"], sides, context))
             count += len(pos)
             if count > 50_000:
                 yield flush(held)
@@ -254,7 +254,7 @@ def settle_contexts(runs: Runs, settle: Callable, doc_buckets: int) -> Callable:
     kind = np.uint8 if runs.unit == "byte" else U
 
     def one(batch: pa.RecordBatch):
-        a, ids, ties, pos = (read(batch, n, k) for n, k in (("a", U), ("id", np.int64), ("tie", np.int32), ("pos", np.uint32)))
+        a, ids, ties, pos = (read(batch, n, k) for n, k in (("a", U), ("id", np.int64), ("tie", np.int64), ("pos", np.uint32)))
         sides = read(batch, "sides", np.uint16).reshape(-1, 2).astype(np.int64)
         context = read(batch, "context", kind).reshape(-1, width)
         order = np.lexsort((a, pos, ties, ids))
