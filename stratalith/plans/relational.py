@@ -15,7 +15,7 @@ from ..operators import layout as lay
 from ..operators import plugins as pg
 from ..operators import sets as st
 from ..operators import windows as wn
-from .base import query, r6, table
+from .base import ORACLE_SQL, query, r6, table
 
 
 @query("""
@@ -71,7 +71,16 @@ WITH b AS (SELECT DISTINCT l_orderkey AS src, l_suppkey AS dst FROM lineitem)
 SELECT src, dst FROM b WHERE src % 3 = 0 AND src IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') AND dst IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')
 """)
 def induced_subgraph(spark, sf):
-    e = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("src"), F.col("l_suppkey").alias("dst")).distinct().filter("src % 3 = 0")
+    return bonds_of_finished(spark, sf, "src % 3 = 0")
+
+
+@query(ORACLE_SQL["induced_subgraph"].replace("src % 3 = 0 AND ", ""))
+def induced_subgraph_all(spark, sf):
+    return bonds_of_finished(spark, sf, "true")
+
+
+def bonds_of_finished(spark, sf, taken: str):
+    e = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("src"), F.col("l_suppkey").alias("dst")).distinct().filter(taken)
     return fl.induced_subgraph(table(spark, sf, "orders").withColumnRenamed("o_orderkey", "node"), e, F.col("o_orderstatus") == "F")[1]
 
 
@@ -212,7 +221,16 @@ WITH n AS (SELECT n_nationkey FROM nation), c AS (SELECT c_nationkey, sum(c_acct
 SELECT n_nationkey, round(coalesce(v, 0), 4) AS value FROM n LEFT JOIN c ON n_nationkey = c_nationkey
 """)
 def dense_group_sum(spark, sf):
-    c = table(spark, sf, "customer").filter("c_nationkey % 5 <> 0").withColumnRenamed("c_nationkey", "n_nationkey")
+    return balance_by_nation(spark, sf, "c_nationkey % 5 <> 0")
+
+
+@query(ORACLE_SQL["dense_group_sum"].replace(" WHERE c_nationkey % 5 <> 0", ""))
+def dense_group_sum_all(spark, sf):
+    return balance_by_nation(spark, sf, "true")
+
+
+def balance_by_nation(spark, sf, taken: str):
+    c = table(spark, sf, "customer").filter(taken).withColumnRenamed("c_nationkey", "n_nationkey")
     return r6(agg.dense_reduce(table(spark, sf, "nation"), c, "n_nationkey", "c_acctbal"), "value", digits=4)
 
 
@@ -364,7 +382,16 @@ c1 AS (SELECT n, md5(any_value(c) || '|' || coalesce(string_agg(d, ',' ORDER BY
 SELECT n AS n_nationkey, c AS colour FROM c1
 """)
 def wl_refinement(spark, sf):
-    e = table(spark, sf, "customer").filter("c_custkey % 7 = 0").select(F.col("c_nationkey").alias("src"), (F.col("c_custkey") % 25).alias("dst"))
+    return nation_colours(spark, sf, "c_custkey % 7 = 0")
+
+
+@query(ORACLE_SQL["wl_refinement"].replace(" WHERE c_custkey % 7 = 0", ""))
+def wl_refinement_all(spark, sf):
+    return nation_colours(spark, sf, "true")
+
+
+def nation_colours(spark, sf, taken: str):
+    e = table(spark, sf, "customer").filter(taken).select(F.col("c_nationkey").alias("src"), (F.col("c_custkey") % 25).alias("dst"))
     return cl.colour_refinement(table(spark, sf, "nation"), e, "n_nationkey", "n_regionkey", rounds=1)
 
 

@@ -310,6 +310,14 @@ def latent_distances(spark, sf):
     return r6(met.select("i", "j", g.latent_distance(F.col("v"), F.col("w"), 2).alias("dist")), "dist")
 
 
+@query(ORACLE_SQL["latent_distances"].replace(" AND b.point < a.point + 40", ""))
+def latent_distances_all(spark, sf):
+    """All pairs of a graph."""
+    p = points(spark, sf).select("graph", F.col("point").alias("i"), F.array("x", "y", "z").alias("v"))
+    met = p.join(p.select("graph", F.col("i").alias("j"), F.col("v").alias("w")), "graph").filter("i < j")
+    return r6(met.select("i", "j", g.latent_distance(F.col("v"), F.col("w"), 2).alias("dist")), "dist")
+
+
 @query("""
 WITH v AS (SELECT l_orderkey, l_linenumber, l_quantity - 25 AS x, l_tax * 100 - 4 AS y, l_discount * 100 - 5 AS z FROM lineitem), n AS (SELECT *, sqrt(x * x + y * y + z * z) AS r FROM v)
 SELECT l_orderkey, l_linenumber, round(r, 6) AS r, round(acos(CASE WHEN r > 0 THEN z / r ELSE 1 END), 6) AS theta, round(atan2(y, x), 6) AS phi, round(CASE WHEN z < 0 THEN -z * (2 * pi() - r) / r ELSE z END, 6) AS canonical_z FROM n
