@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def star(edges: DataFrame, large: bool) -> DataFrame:
@@ -24,7 +24,8 @@ def components(links: DataFrame, most: int = 40) -> DataFrame:
     """(node, root): the least node of each linked node's component. links: (a, b). No row for nodes without links."""
     edges = materialize(links.select("a", "b").filter("a <> b").distinct(), "links")
     for _ in range(most):
-        edges = materialize(star(star(edges, True), False), "stars")
+        before, edges = edges, materialize(star(star(edges, True), False), "stars")
+        discard(before)
         # Done when no node hangs on two others and no node that hangs has others hanging on it.
         roots = edges.select(F.col("b").alias("a")).distinct()
         if edges.groupBy("a").agg(F.min("b").alias("lo"), F.max("b").alias("hi")).join(roots.withColumn("root", F.lit(True)), "a", "left").filter("lo <> hi OR root").isEmpty():

@@ -4,19 +4,22 @@ Documents whose sets of 5-word shingles have a Jaccard similarity of 0.75 or mor
 count for the components, none is sampled away.
 
 * Tokens (shingles) are ordered by rarity. Rarity comes from a count of all tokens of all documents, hashed to a
-  table of fixed size; it only steers the order, which any hashed value keeps total, so it can't lose a link.
+  table of fixed size, and from counts of the tokens that prefixes hold; both only steer the order and the classes, which
+  are total for any values, so they can't lose a link.
 * A set of n tokens must share 3/4 of them, so of its first n // 4 + 1 tokens one is shared. Tokens of the rare class
   are indexed alone. Frequent tokens are dealt to groups by hash and indexed as pairs within a group; for each group
   met, the prefix grows by one token, so two sets that share no rare token there share two of one group.
-* Equal sets are one node. Signatures of one node are dropped in packed form; signatures with equal members count once.
-* A signature of few members is checked pair by pair. One of many is checked against a pivot, the member with
-  the largest share of frequent tokens, and drops out when its members are in one component; after a few pivots the
-  pairs that are in different components still are checked one by one. Lengths out of ratio are never checked.
+* A posting carries ``rest``, the most tokens that its set can share with another whose first common signature this
+  is. A pair is looked at only where both rests reach 3/7 of the summed sizes (which is what 0.75 needs) - the positional bound.
+* In each signature one member, the one with the least rarer than the signature, is the pivot; all others are checked against it.
+  What is then in one component needs no further check. Members outside the pivot's component meet the others by bands
+  of sizes: a member is dealt to just the bands that its rest allows, so texts with enough tokens of their own meet nobody.
 * A check counts the shared tokens of both whole sets.
+* Signatures that very many sets may hold are salted: each salt has its own pivot, and the bands bring the salts together.
 
-Nodes and tokens are 64-bit hashes. Defined results: a null or wordless text has an empty set and is its own
+Nodes (distinct sets) and tokens are 64-bit hashes. Defined results: a null or wordless text has an empty set and is its own
 component; fewer than five words are one token; rows that repeat a doc_id are rows of their own; a null doc_id
-joins a component without naming it; an empty table gives an empty table.
+joins a component without naming it; an empty table gives an empty table; other columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ from pyspark.sql import types as T
 
 from . import anchors as an
 from . import textkernel as tk
-from .common import materialize, packed_buckets, partitions_for, text_bytes
+from .common import discard, materialize, packed_buckets, partitions_for, row_key, settings, text_bytes
 from .graph import components
 from .repeats import by_bucket, read, sent
 
@@ -41,10 +44,18 @@ CELL_BITS, CELL_PARTS = 23, 32
 MAP_BITS = 26
 #: Postings that a worker holds before it sends them, and bytes of a batch sent to a worker.
 PART_POSTINGS, BATCH_BYTES = 400_000, 8 << 20
-FEW, PIVOTS = 12, 2
+#: A token that more prefixes hold is frequent. At most so many frequent tokens are broadcast (9 bytes each); where there are more, those in the most prefixes count.
+MANY, MOST_FREQUENT = 64, 1 << 21
+#: Counts of prefixes are repeated after tokens turned frequent, as prefixes then reach further; they steer only.
+ROUNDS = 2
+#: A signature that 2 ** level sets may hold is dealt to 2 ** (level - SALT_LEVEL) salts.
+SALT_LEVEL = 12
+#: Bands of sizes grow by a twentieth.
+BANDS = 20
 #: Up to so many nodes (8 bytes each) are broadcast to thin out token sets before a check; more are met by shuffle.
 SMALL_NODES = 500_000
-POSTING_PART = "bucket int, sig binary, node binary, n binary, centre binary"
+COUNT_PART = "bucket int, token binary, count binary"
+POSTING_PART = "bucket int, sig binary, node binary, n binary, rest binary, salted binary"
 _K = U(0x9E3779B97F4A7C15)
 
 
@@ -120,17 +131,121 @@ def add_cells(batches):
         yield done()
 
 
+class Classes:
+    """Levels of cells, and the frequent tokens with theirs."""
+
+    def __init__(self, levels: np.ndarray, noise: int, token: np.ndarray, level: np.ndarray):
+        order = np.argsort(token)
+        self.levels, self.noise, self.token, self.level = levels, noise, token[order], level[order]
+
+    def of(self, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Level of each token, and whether it is frequent."""
+        level = self.levels[token >> U(64 - CELL_BITS)]
+        hot = level >= max(6, self.noise + 2)
+        if len(self.token):
+            at = np.minimum(np.searchsorted(self.token, token), len(self.token) - 1)
+            listed = (self.token[at] == token) & ~hot
+            level = np.where(listed, self.level[at], level)
+            hot |= listed
+        return level, hot
+
+    def order(self, token: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens of each document, from rare to frequent, with levels and classes. doc: ascending."""
+        level, hot = self.of(token)
+        at = np.argsort((hot.astype(U) << U(63)) | (level.astype(U) << U(57)) | (token >> U(7)), kind="stable")
+        at = at[np.argsort(doc[at].astype(np.uint32), kind="stable")]
+        return token[at], level[at], hot[at]
+
+
+def ordered_sets(batch: pa.RecordBatch, classes: Classes):
+    """For each block of a batch: (tokens in order, levels, frequent, where documents begin, ranks, nodes, which documents are new in the batch)."""
+    known = np.zeros(0, np.int64)
+    for _, _, data, offs in tk.blocks(batch.column("text"), 1 << 20):
+        token, bounds = block_sets(data, offs)
+        node, n = nodes_of(token, bounds), np.diff(bounds)
+        _, first = np.unique(node, return_index=True)
+        fresh = np.zeros(len(node), bool)
+        fresh[first] = True
+        fresh &= (n > 0) & ~np.isin(node, known)
+        known = np.r_[known, node[fresh]]
+        doc = np.repeat(np.arange(len(n)), n)
+        token, level, hot = classes.order(token, doc)
+        yield token, level, hot, bounds, doc, np.arange(len(token)) - bounds[:-1][doc], node, fresh
+
+
+def count_prefixes(classes, before, buckets: int):
+    """How many sets of a batch hold each rare token in their prefix, by bucket of the token; after a first count, of sets whose prefix changed."""
+
+    def step(batches):
+        now, old = classes.value, before and before.value
+        for batch in batches:
+            found = []
+            for token, _, hot, bounds, doc, rank, _, fresh in ordered_sets(batch, now):
+                n = np.diff(bounds)
+                inside = fresh[doc] & (rank < (n // 4 + 1)[doc])
+                if old is not None:
+                    turned = np.zeros(len(n), bool)
+                    level, was = old.of(token)
+                    turned[doc[hot & ~was]] = True
+                    inside &= turned[doc]
+                found.append(token[inside & ~hot])
+            if found:
+                token, count = np.unique(np.concatenate(found), return_counts=True)
+                yield sent(COUNT_PART, (token % U(buckets)).astype(np.int64), {"token": token, "count": count.astype(np.uint32)})
+
+    return step
+
+
+def present(step):
+    """Without the empty parts of a step."""
+
+    def run(batches):
+        return (x for x in step(batches) if x is not None)
+
+    return run
+
+
+def add_counts(many: int):
+    """Tokens that more than ``many`` prefixes hold, with the binary logarithm of the number."""
+
+    def step(batch: pa.RecordBatch):
+        token, count = read(batch, "token", U), read(batch, "count", np.uint32)
+        order = np.argsort(token, kind="stable")
+        token, count = token[order], count[order]
+        at = np.flatnonzero(an.first_of_groups(token))
+        total = np.add.reduceat(count, at, dtype=np.int64) if len(at) else count[:0]
+        keep = total > many
+        if keep.any():
+            yield pa.RecordBatch.from_arrays([pa.array(token[at][keep].view(np.int64)), pa.array(np.floor(np.log2(total[keep])).astype(np.int32))], names=["token", "level"])
+
+    return step
+
+
+def frequent_tokens(counts: DataFrame, classes: Classes) -> Classes:
+    """Classes with the tokens counted; of more than MOST_FREQUENT those of the higher levels."""
+    room = MOST_FREQUENT - len(classes.token)
+    tall, least = counts.groupBy("level").count().orderBy(F.desc("level")).collect(), 1 << 30
+    for r in tall:
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r["level"]
+    rows = counts.filter(F.col("level") >= least).collect()
+    token = np.array([r["token"] for r in rows], np.int64).view(U)
+    return Classes(classes.levels, classes.noise, np.r_[classes.token, token], np.r_[classes.level, np.array([r["level"] for r in rows], np.uint8)])
+
+
 def groups_at(level: int) -> int:
     """How many groups frequent tokens are dealt to, for sets of 2 ** level tokens or more."""
     return max(1, (1 << level) // 16)
 
 
-def signatures(token: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """Signatures of one set whose base prefix has frequent tokens. token: in order of rarity."""
+def signatures(token: np.ndarray, frequent: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures of one set whose base prefix has frequent tokens, with rests and levels (0: a rare token). token: in order of rarity."""
     n = len(token)
     base, out = n // 4 + 1, []
-    for level in {n.bit_length() - 1, (n - n // 4).bit_length() - 1}:
-        groups = groups_at(level)
+    for size in {n.bit_length() - 1, (n - n // 4).bit_length() - 1}:
+        groups = groups_at(size)
         group = np.where(frequent, (tk.mix(token ^ _K) % U(groups)).astype(np.int64), -1)
         end = base
         while True:
@@ -138,59 +253,50 @@ def signatures(token: np.ndarray, frequent: np.ndarray) -> np.ndarray:
             if need == end:
                 break
             end = need
-        out.append(token[:end][~frequent[:end]])
-        own, of = token[:end][frequent[:end]], group[:end][frequent[:end]]
+        rank = np.arange(end)
+        alone = ~frequent[:end]
+        out.append((token[:end][alone], n - rank[alone], np.zeros(alone.sum(), np.uint8)))
+        own, of, at, high = (x[:end][~alone] for x in (token, group, np.arange(n), level))
         order = np.lexsort((own, of))
-        own, of = own[order], of[order]
-        size = np.bincount(of, minlength=groups)
-        last = np.cumsum(size)[of]
+        own, of, at, high = own[order], of[order], at[order], high[order]
+        last = np.cumsum(np.bincount(of, minlength=groups))[of]
         i = np.arange(len(own))
         left = np.repeat(i, last - 1 - i)
         right = np.arange(len(left)) - np.repeat(np.cumsum(last - 1 - i) - (last - 1 - i), last - 1 - i) + left + 1
-        out.append(tk.mix(tk.mix(own[left] + U(level + 1) * _K) * _K + own[right]))
-    return np.unique(np.concatenate(out))
+        # Up to the first two common tokens of one group at most one token for each group, and one more, is common.
+        rest = np.minimum(n, n - np.maximum(at[left], at[right]) + groups)
+        out.append((tk.mix(tk.mix(own[left] + U(size + 1) * _K) * _K + own[right]), rest, np.minimum(high[left], high[right])))
+    sig, rest, high = (np.concatenate(x) for x in zip(*out, strict=True))
+    _, first = np.unique(sig, return_index=True)
+    return sig[first], rest[first], high[first]
 
 
-def index_sets(levels, frequent_level: int, noise: int, buckets: int):
-    """Postings of each distinct set of a batch by bucket of the signature."""
+def index_sets(classes, buckets: int):
+    """Postings of each distinct set of a batch by bucket of the signature, or of the signature and a salt."""
 
     def packed(held):
-        sig, node, n, centre = (np.concatenate(x) for x in zip(*held, strict=True))
+        sig, node, n, rest, level = (np.concatenate(x) for x in zip(*held, strict=True))
         held.clear()
-        return sent(POSTING_PART, (sig % U(buckets)).astype(np.int64), {"sig": sig, "node": node, "n": n, "centre": centre})
+        salts = U(1) << np.maximum(level.astype(np.int64) - SALT_LEVEL, 0).astype(U)
+        salt = tk.mix(node.view(U) ^ _K) % salts
+        return sent(POSTING_PART, ((sig + salt) % U(buckets)).astype(np.int64), {"sig": sig, "node": node, "n": n, "rest": rest, "salted": (salts > U(1)).astype(np.uint8)})
 
     def step(batches):
-        table = levels.value
         for batch in batches:
-            held, known, count = [], np.zeros(0, np.int64), 0
-            for _, _, data, offs in tk.blocks(batch.column("text"), 1 << 20):
-                token, bounds = block_sets(data, offs)
-                node, n = nodes_of(token, bounds), np.diff(bounds)
-                _, first = np.unique(node, return_index=True)
-                fresh = np.zeros(len(node), bool)
-                fresh[first] = True
-                fresh &= (n > 0) & ~np.isin(node, known)
-                known = np.r_[known, node[fresh]]
-                doc = np.repeat(np.arange(len(n)), n)
-                level = table[token >> U(64 - CELL_BITS)]
-                total = np.zeros(len(token) + 1, np.int64)
-                np.cumsum(level > noise, out=total[1:])
-                centre = ((total[bounds[1:]] - total[bounds[:-1]]) * 255 // np.maximum(n, 1)).astype(np.uint8)
-                order = np.argsort((level.astype(U) << U(58)) | (token >> U(6)), kind="stable")
-                order = order[np.argsort(doc[order].astype(np.uint32), kind="stable")]
-                token, level = token[order], level[order]
-                rank = np.arange(len(token)) - bounds[:-1][doc]
+            held, count = [], 0
+            for token, level, hot, bounds, doc, rank, node, fresh in ordered_sets(batch, classes.value):
+                n = np.diff(bounds)
                 inside = rank < (n // 4 + 1)[doc]
-                hot = level >= frequent_level
                 paired = np.zeros(len(n), bool)
                 paired[doc[inside & hot]] = True
                 plain = inside & (fresh & ~paired)[doc]
-                parts = [(token[plain], doc[plain])]
+                parts = [(token[plain], doc[plain], n[doc[plain]] - rank[plain], np.zeros(plain.sum(), np.uint8))]
                 for d in np.flatnonzero(fresh & paired):
-                    sig = signatures(token[bounds[d] : bounds[d + 1]], hot[bounds[d] : bounds[d + 1]])
-                    parts.append((sig, np.full(len(sig), d)))
-                sig, of = (np.concatenate(x) for x in zip(*parts, strict=True))
-                held.append((sig, node[of], n[of].astype(np.uint32), centre[of]))
+                    own = slice(bounds[d], bounds[d + 1])
+                    sig, rest, high = signatures(token[own], hot[own], level[own])
+                    parts.append((sig, np.full(len(sig), d), rest, high))
+                sig, of, rest, high = (np.concatenate(x) for x in zip(*parts, strict=True))
+                held.append((sig, node[of], n[of].astype(np.uint32), rest.astype(np.uint32), high.astype(np.uint8)))
                 count += len(sig)
                 if count > PART_POSTINGS:
                     yield packed(held)
@@ -201,20 +307,47 @@ def index_sets(levels, frequent_level: int, noise: int, buckets: int):
     return step
 
 
-def shared_signatures(batch: pa.RecordBatch):
-    """Postings of signatures that two or more nodes of a bucket have."""
-    sig, node, n, centre = (read(batch, c, k) for c, k in (("sig", U), ("node", np.int64), ("n", np.uint32), ("centre", np.uint8)))
-    order = np.argsort(sig, kind="stable")
-    new = an.first_of_groups(sig[order])
-    group = np.cumsum(new) - 1
-    keep = order[(np.bincount(group) > 1)[group]] if len(sig) else order
-    sig, node, n, centre = sig[keep], node[keep], n[keep], centre[keep]
+def some_partner(group: np.ndarray, n: np.ndarray, rest: np.ndarray, salted: np.ndarray) -> np.ndarray:
+    """Which postings have another one of their signature with a size that their rest allows. Sorted by (group, n); salted ones have others elsewhere."""
+    lowest, highest = (3 * n + 3) // 4, np.minimum(7 * rest // 3 - n, 4 * n // 3)
+    place = group * (1 << 32) + n
+    near = np.searchsorted(place, group * (1 << 32) + np.maximum(highest, 0), side="right") - np.searchsorted(place, group * (1 << 32) + lowest, side="left")
+    return (near - (highest >= n) > 0) | (salted & (highest >= lowest))
+
+
+def meet_postings(batch: pa.RecordBatch):
+    """Pairs of members and their signature's pivot (sig null, a, b), and postings of signatures with three members or more (sig, a, n, rest)."""
+    sig, node, n, rest, salted = (read(batch, c, k) for c, k in (("sig", U), ("node", np.int64), ("n", np.uint32), ("rest", np.uint32), ("salted", np.uint8)))
     order = np.lexsort((node, sig))
-    order = order[an.first_of_groups(sig[order], node[order])]
-    group = np.cumsum(an.first_of_groups(sig[order])) - 1
-    order = order[(np.bincount(group) > 1)[group]] if len(order) else order
-    if len(order):
-        yield pa.RecordBatch.from_arrays([pa.array(sig[order].view(np.int64)), pa.array(node[order]), pa.array(n[order].astype(np.int64)), pa.array(centre[order].astype(np.int32))], names=["sig", "node", "n", "centre"])
+    order = order[an.first_of_groups(sig[order], node[order])] if len(sig) else order
+    sig, node, n, rest, salted = sig[order], node[order], n[order].astype(np.int64), rest[order].astype(np.int64), salted[order] > 0
+    for _ in range(2):
+        group = np.cumsum(an.first_of_groups(sig))
+        order = np.lexsort((n, group))
+        sig, node, n, rest, salted = (x[order] for x in (sig, node, n, rest, salted))
+        keep = some_partner(group, n, rest, salted)
+        sig, node, n, rest, salted = (x[keep] for x in (sig, node, n, rest, salted))
+    if not len(sig):
+        return
+    at = np.flatnonzero(an.first_of_groups(sig))
+    size = np.diff(np.r_[at, len(sig)])
+    group = np.repeat(np.arange(len(at)), size)
+    pivot = np.lexsort((node, -(rest / n), group))[at][group]
+    met = (node != node[pivot]) & possible(n, rest, n[pivot], rest[pivot])
+    a, b = np.minimum(node, node[pivot])[met], np.maximum(node, node[pivot])[met]
+    order = np.lexsort((b, a))
+    order = order[an.first_of_groups(a[order], b[order])] if len(a) else order
+    a, b = a[order], b[order]
+    long = (size[group] > 2) | salted
+    none, some = pa.nulls(len(a), pa.int64()), long.sum()
+    yield pa.RecordBatch.from_arrays([none, pa.array(a), pa.array(b), none, none], names=["sig", "a", "b", "n", "rest"])
+    yield pa.RecordBatch.from_arrays([pa.array(sig[long].view(np.int64)), pa.array(node[long]), pa.nulls(some, pa.int64()), pa.array(n[long]), pa.array(rest[long])], names=["sig", "a", "b", "n", "rest"])
+
+
+def possible(n_a, rest_a, n_b, rest_b):
+    """Sizes and rests that can still reach 0.75: 3/7 of both sizes is shared. For arrays and columns."""
+    both = 3 * (n_a + n_b)
+    return (7 * rest_a >= both) & (7 * rest_b >= both) & (4 * n_a >= 3 * n_b) & (4 * n_b >= 3 * n_a)
 
 
 def emit_sets(wanted):
@@ -249,118 +382,117 @@ def check_pairs(batches):
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def candidate(a: str, b: str):
-    """Sizes that can still reach 0.75."""
-    return 100 * F.least(a, b) >= 75 * F.greatest(a, b)
-
-
-class Join:
-    """Pairs checked so far, and the components their links make."""
-
-    def __init__(self):
-        self.checked, self.roots = None, None
-
-    def check(self, pairs: DataFrame, sets: DataFrame) -> None:
-        """pairs: (a, b), each once or more."""
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if self.checked is not None:
-            pairs = pairs.join(self.checked, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        few = ends(pairs)
-        if few.limit(SMALL_NODES + 1).count() <= SMALL_NODES:
-            sets = sets.join(F.broadcast(few), "node", "left_semi")
-        left, right = (sets.select(F.col("node").alias(x), F.col("tokens").alias(f"tokens_{x}")) for x in "ab")
-        found = materialize(pairs.join(right, "b").join(left, "a").mapInArrow(check_pairs, "a long, b long"), "found")
-        self.checked = pairs if self.checked is None else self.checked.unionByName(pairs)
-        if self.roots is None:
-            self.roots = components(found)
-            return
-        # Later links only join components: they are contracted to links of roots, most often none.
-        for x in "ab":
-            found = found.join(self.roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")), x, "left").withColumn(x, F.coalesce(f"root_{x}", x)).drop(f"root_{x}")
-        found = materialize(found.filter("a <> b").distinct(), "contracted")
-        if found.isEmpty():
-            return
-        merged = components(found).select(F.col("node").alias("root"), F.col("root").alias("top"))
-        old = self.roots.join(merged, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
-        fresh = merged.join(self.roots.select("root").distinct(), "root", "left_anti").select(F.col("root").alias("node"), F.col("top").alias("root"))
-        self.roots = materialize(old.unionByName(fresh), "roots")
-
-    def labelled(self, postings: DataFrame) -> DataFrame:
-        """With each node's root."""
-        if self.roots is None:
-            return postings.withColumn("root", F.col("node"))
-        return postings.join(self.roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-
-    def open(self, postings: DataFrame) -> DataFrame:
-        """Postings of signatures whose members are in two components or more, with roots and the members' number."""
-        rows = self.labelled(postings)
-        several = rows.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("m")).filter("lo <> hi").select("sig", "m")
-        return materialize(rows.join(several, "sig"), "open-signatures")
-
-    def pairs_within(self, rows: DataFrame) -> DataFrame:
-        """Pairs of one signature in different components. rows: (sig, node, n, root)."""
-        a, b = (rows.select("sig", F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("root").alias(f"root_{x}")) for x in "ab")
-        return a.join(b, "sig").filter((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & candidate("n_a", "n_b")).select("a", "b")
-
-
 def ends(pairs: DataFrame) -> DataFrame:
     """Distinct nodes of pairs."""
     return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
 
 
-def link(postings: DataFrame, read_sets) -> DataFrame:
-    """(node, root) of all linked nodes. postings: (sig, node, n, centre); read_sets: nodes -> (node, tokens)."""
-    join = Join()
-    rows = join.open(postings)
-    pairs = materialize(join.pairs_within(rows.filter(F.col("m") <= FEW)).distinct(), "candidates")
-    rows = rows.filter(F.col("m") > FEW).drop("root", "m")
-    # Token sets are read for nodes that some check may need, and for no others.
-    sets = read_sets(ends(pairs).unionByName(rows.select("node")).distinct())
-    join.check(pairs, sets)
-    for _ in range(PIVOTS):
-        rows = join.open(rows)
-        if rows.isEmpty():
-            return join.roots
-        pivot = rows.groupBy("sig").agg(F.max(F.struct("centre", "node", "n", "root")).alias("p"))
-        met = rows.join(pivot, "sig")
-        join.check(met.filter((F.col("root") != F.col("p.root")) & candidate("n", "p.n")).select(F.col("node").alias("a"), F.col("p.node").alias("b")), sets)
-        rows = met.filter(F.col("node") != F.col("p.node")).select("sig", "node", "n", "centre")
-    rows = join.open(rows)
-    if not rows.isEmpty():
-        join.check(join.pairs_within(rows), sets)
-    return join.roots
+def check(pairs: DataFrame, read_sets) -> DataFrame:
+    """Links among distinct pairs (a, b). read_sets: nodes -> (node, tokens), some further nodes included."""
+    few = materialize(ends(pairs), "ends")
+    sets = read_sets(few)
+    some = F.broadcast(few) if few.limit(SMALL_NODES + 1).count() <= SMALL_NODES else few
+    left, right = (sets.join(some, "node", "left_semi").select(F.col("node").alias(x), F.col("tokens").alias(f"tokens_{x}")) for x in "ab")
+    found = materialize(pairs.join(right, "b").join(left, "a").mapInArrow(check_pairs, "a long, b long"), "found")
+    discard(few, sets)
+    return found
+
+
+def banded(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides of the meeting of members outside their pivot's component with all members, keyed by signature and the bands of the lesser and larger size.
+
+    rows: (sig, node, n, rest, root, main). A posting goes to the bands of partners that its rest allows, first as the lesser of a pair, then as the larger.
+    """
+    band = lambda c: F.floor(F.log(c) * BANDS).cast("int")
+    most = F.least(F.floor(7 * F.col("rest") / 3).cast("long") - F.col("n"), F.floor(4 * F.col("n") / 3).cast("long"))
+    lesser = F.when(most >= F.col("n"), F.sequence(band("n"), band(most)))
+    larger = F.when(most >= F.ceil(3 * F.col("n") / 4), F.sequence(band(F.ceil(3 * F.col("n") / 4)), band(F.least(most, F.col("n")))))
+    as_lesser = rows.select("*", F.explode(lesser).alias("other")).withColumn("low", band("n")).withColumnRenamed("other", "high")
+    as_larger = rows.select("*", F.explode(larger).alias("other")).withColumn("high", band("n")).withColumnRenamed("other", "low")
+    return as_lesser.select("sig", "low", "high", "node", "n", "rest", "root", "main"), as_larger.select("sig", "low", "high", "node", "n", "rest", "root", "main")
+
+
+def rest_of_pairs(rows: DataFrame) -> DataFrame:
+    """Distinct pairs in different components that their postings allow. rows: (sig, node, n, rest, root, main)."""
+    lesser, larger = banded(rows)
+    outside = F.col("root") != F.col("main")
+    found = None
+    for one, other in ((lesser.filter(outside), larger), (lesser, larger.filter(outside))):
+        a, b = (x.select("sig", "low", "high", *(F.col(c).alias(f"{c}_{k}") for c in ("node", "n", "rest", "root"))) for x, k in ((one, "a"), (other, "b")))
+        ordered = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("node_a") < F.col("node_b")))
+        met = a.join(b, (a["sig"] == b["sig"]) & (a["low"] == b["low"]) & (a["high"] == b["high"]) & ordered & (F.col("root_a") != F.col("root_b")) & possible(F.col("n_a"), F.col("rest_a"), F.col("n_b"), F.col("rest_b")))
+        met = met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
+        found = met if found is None else found.unionByName(met)
+    return found.distinct()
+
+
+def link(met: DataFrame, read_sets) -> DataFrame:
+    """(node, root) of all linked nodes. met: what ``meet_postings`` gives."""
+    pairs = materialize(met.filter("sig IS NULL").select("a", "b").distinct(), "star-pairs")
+    found = check(pairs, read_sets)
+    roots = components(found)
+    rows = met.filter("sig IS NOT NULL").select("sig", F.col("a").alias("node"), "n", "rest")
+    rows = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    open_ones = rows.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max(F.struct((F.col("rest") / F.col("n")).alias("share"), "root")).alias("pivot"))
+    open_ones = open_ones.filter("lo <> hi").select("sig", F.col("pivot.root").alias("main"))
+    rows = materialize(rows.join(open_ones, "sig"), "open")
+    later = materialize(rest_of_pairs(rows).join(pairs, ["a", "b"], "left_anti"), "banded-pairs")
+    if not later.isEmpty():
+        more = check(later, read_sets)
+        if not more.isEmpty():
+            # Later links only join components: they are contracted to links of roots.
+            for x in "ab":
+                more = more.join(roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")), x, "left").withColumn(x, F.coalesce(f"root_{x}", x)).drop(f"root_{x}")
+            linked = components(more.filter("a <> b").distinct())
+            merged = linked.select(F.col("node").alias("root"), F.col("root").alias("top"))
+            old = roots.join(merged, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+            fresh = merged.join(roots.select("root").distinct(), "root", "left_anti").select(F.col("root").alias("node"), F.col("top").alias("root"))
+            roots = materialize(old.unionByName(fresh), "roots")
+    discard(rows, pairs, later, found)
+    return roots
+
+
+def cell_levels(table: DataFrame) -> np.ndarray:
+    """One byte for each cell: a table of fixed size, which is broadcast."""
+    parts = an.meet(table.filter("bucket IS NOT NULL").select("bucket", "counts"), CELL_PARTS).mapInArrow(add_cells, "bucket int, levels binary").collect()
+    level = np.zeros((CELL_PARTS, (1 << CELL_BITS) // CELL_PARTS), np.uint8)
+    for r in parts:
+        level[r["bucket"]] = np.frombuffer(r["levels"], np.uint8)
+    return level.ravel()
 
 
 def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(rid, doc_id, root, n_shingles, component_id) of each row; rid: hash of its id and text; root: the component's key."""
-    spark = docs.sparkSession
     # Token sets are long rows: a worker gets few at a time.
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    rows = docs.select(F.xxhash64(F.col(id_col).cast("string"), F.coalesce(F.col(text_col), F.lit(""))).alias("rid"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    with settings(docs.sparkSession, {"spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES)}):
+        return found_components(docs, id_col, text_col)
+
+
+def found_components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    spark = docs.sparkSession
+    rows = docs.select(row_key(id_col, text_col).alias("rid"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     total = text_bytes(docs, text_col)
     schema = T.StructType().add("rid", "long").add("doc_id", rows.schema["doc_id"].dataType).add("n", "long").add("node", "long").add("bucket", "integer").add("counts", "binary")
     table = materialize(rows.mapInArrow(sets_and_cells, schema), "sets")
     member = table.filter("bucket IS NULL").select("rid", "doc_id", "n", "node")
-    parts = an.meet(table.filter("bucket IS NOT NULL").select("bucket", "counts"), CELL_PARTS).mapInArrow(add_cells, "bucket int, levels binary").collect()
-    # A table of one byte for each cell, of fixed size, is all that is broadcast.
-    level = np.zeros((CELL_PARTS, (1 << CELL_BITS) // CELL_PARTS), np.uint8)
-    for r in parts:
-        level[r["bucket"]] = np.frombuffer(r["levels"], np.uint8)
+    levels = cell_levels(table)
     mean = (member.agg(F.sum("n")).first()[0] or 0) / (1 << CELL_BITS)
     noise = int(np.floor(np.log2(mean + 4 * mean**0.5 + 1)))
-    levels = spark.sparkContext.broadcast(level.ravel())
-    buckets = packed_buckets(total // 6 // 4 * 21)
+    classes, before = Classes(levels, noise, np.zeros(0, U), np.zeros(0, np.uint8)), None
+    shared = spark.sparkContext.broadcast(classes)
+    buckets = packed_buckets(total // 6 // 4 * 24)
     few = partitions_for(spark, buckets)
-    postings = an.meet(rows.select("text").mapInArrow(index_sets(levels, max(6, noise + 2), noise, buckets), POSTING_PART), few)
-    postings = materialize(postings.mapInArrow(by_bucket(shared_signatures), "sig long, node long, n long, centre int"), "postings")
-    # Signatures with equal members say the same.
-    # Sums of two independent 64-bit hashes, by halves so that no sum overflows.
-    hashes = [F.xxhash64(F.lit(i), "node") for i in (1, 2)]
-    halves = [F.sum(x) for h in hashes for x in (F.shiftright(h, 32), h.bitwiseAND(F.lit(0xFFFFFFFF)))]
-    alike = postings.groupBy("sig").agg(F.count(F.lit(1)).alias("m"), *(x.alias(f"h{i}") for i, x in enumerate(halves)))
-    once = alike.groupBy("m", *(f"h{i}" for i in range(len(halves)))).agg(F.min("sig").alias("sig")).select("sig")
-    postings = materialize(postings.join(once, "sig", "left_semi"), "signatures")
+    for _ in range(ROUNDS):
+        counts = an.meet(rows.select("text").mapInArrow(present(count_prefixes(shared, before, buckets)), COUNT_PART), few)
+        counts = materialize(counts.mapInArrow(by_bucket(add_counts(MANY)), "token long, level int"), "counts")
+        more = frequent_tokens(counts, classes)
+        discard(counts)
+        if len(more.token) == len(classes.token):
+            break
+        classes, before = more, shared
+        shared = spark.sparkContext.broadcast(classes)
+    postings = an.meet(rows.select("text").mapInArrow(present(index_sets(shared, buckets)), POSTING_PART), few)
+    met = materialize(postings.mapInArrow(by_bucket(meet_postings), "sig long, a long, b long, n long, rest long"), "postings")
 
     def read_sets(nodes: DataFrame) -> DataFrame:
         """One row stands for each node; a bit map of fixed size tells which rows may be asked for, others that share a bit are never joined."""
@@ -373,7 +505,8 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         wanted = spark.sparkContext.broadcast(Bits(packed))
         return materialize(rows.select("rid", "text").mapInArrow(emit_sets(wanted), "node long, tokens binary"), "token-sets")
 
-    roots = link(postings, read_sets)
+    roots = link(met, read_sets)
+    discard(met)
     out = member.join(roots, "node", "left").withColumn("root", F.when(F.col("n") > 0, F.coalesce("root", "node")))
     least = out.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"))
     return out.join(least, "root", "left").select("rid", "doc_id", F.coalesce("root", "rid").alias("root"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
@@ -382,12 +515,12 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of ``docs`` without all but one of each component: the least id stays, among null ids one by a hash.
 
-    Rows alike in id and text are one document.
+    Rows alike in id and text are one document; where they differ in other columns, the row of the least hash stays. Columns may have any names.
     """
     found = jaccard_components(docs, id_col=id_col, text_col=text_col)
-    best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid")).alias("best")).select("best.rid")
-    rid = F.xxhash64(F.col(id_col).cast("string"), F.coalesce(F.col(text_col), F.lit("")))
-    return docs.withColumn("_rid", rid).join(best.distinct().withColumnRenamed("rid", "_rid"), "_rid", "left_semi").dropDuplicates(["_rid"]).drop("_rid")
+    best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid")).alias("best")).select("best.rid").distinct()
+    whole = docs.select(row_key(id_col, text_col).alias("rid"), F.xxhash64(*docs.columns).alias("order"), F.struct(*docs.columns).alias("whole"))
+    return whole.join(best, "rid", "left_semi").groupBy("rid").agg(F.min_by("whole", "order").alias("whole")).select("whole.*")
 
 
 class Bits:

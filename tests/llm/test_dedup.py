@@ -144,21 +144,59 @@ def test_a_large_group_of_near_copies(spark):
 
 
 def test_signatures_lose_no_link():
-    """Two sets at the threshold share a signature, whatever is frequent."""
+    """Two sets at the threshold share a signature whose rests allow the pair, whatever is frequent."""
     rng = np.random.default_rng(0)
+
+    def fresh(n):
+        return rng.integers(1, 1 << 62, n, dtype=np.int64).astype(np.uint64)
+
     for n in (4, 5, 8, 12, 20, 60, 200, 1000):
         for share in (0.0, 0.5, 1.0):
-            both = rng.integers(1, 1 << 62, n - n // 4, dtype=np.int64).astype(np.uint64)
-            a = np.r_[both, rng.integers(1, 1 << 62, n // 4, dtype=np.int64).astype(np.uint64)]
-            b = both
-            hot = lambda t: (tk.mix(t.copy()) % np.uint64(1000)) < np.uint64(int(share * 1000))
-            sigs = []
-            for t in (a, b):
-                t = np.sort(t)
-                t = t[np.lexsort((t, hot(t)))]
-                base = t[: len(t) // 4 + 1]
-                sigs.append(set(nj.signatures(t, hot(t)).tolist()) if hot(base).any() else set(base.tolist()))
-            assert sigs[0] & sigs[1], (n, share)
+            for own in (0, n // 16, n // 8):
+                both = fresh(n - n // 4)
+                a, b = np.r_[both, fresh(n // 4 - own)], np.r_[both, fresh(own)]
+                if 100 * len(both) < 75 * (len(a) + len(b) - len(both)):
+                    a, b = both, np.r_[both, fresh(len(both) // 3)]
+                hot = lambda t: (tk.mix(t.copy()) % np.uint64(1000)) < np.uint64(int(share * 1000))
+                sigs = []
+                for t in (a, b):
+                    t = np.sort(t)
+                    t = t[np.lexsort((t, hot(t)))]
+                    base = t[: len(t) // 4 + 1]
+                    if hot(base).any():
+                        sig, rest, _ = nj.signatures(t, hot(t), np.full(len(t), 7, np.uint8))
+                        sigs.append(dict(zip(sig.tolist(), rest.tolist(), strict=True)))
+                    else:
+                        sigs.append({s: len(t) - i for i, s in enumerate(base.tolist())})
+                met = sigs[0].keys() & sigs[1].keys()
+                assert any(nj.possible(len(a), sigs[0][s], len(b), sigs[1][s]) for s in met), (n, share, own)
+
+
+@pytest.mark.parametrize("many, salt", [(0, 0), (2, 1), (64, 12)])
+def test_classes_and_salts_change_no_component(spark, monkeypatch, many, salt):
+    """Mixtures of common lines, near copies of one text and texts mostly of common lines: brute force, whatever is frequent or salted."""
+    for k, v in (("MANY", many), ("SALT_LEVEL", salt)):
+        monkeypatch.setattr(nj, k, v)
+    rng = np.random.default_rng(5)
+    lines = [" ".join(f"l{i}w{j}" for j in range(8)) for i in range(24)]
+    rows = [(i, "\n".join(lines[j] for j in sorted(rng.choice(24, rng.integers(4, 20), replace=False)))) for i in range(90)]
+    base = [f"b{i}" for i in range(90)]
+    for i in range(60):
+        w = list(base[: rng.integers(60, 91)])
+        for j in rng.integers(0, len(w), rng.integers(0, 5)):
+            w[j] = f"n{i}_{j}"
+        rows.append((100 + i, " ".join(w)))
+    rows += [(200 + i, "\n".join(lines[:10]) + f" {' '.join(f'own{i}_{j}' for j in range(rng.integers(1, 30)))}") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in nj.jaccard_components(df).collect()]
+    assert sorted(got) == sorted(brute_components(rows))
+
+
+def test_kept_rows_do_not_depend_on_names_or_order(spark):
+    rows = [(1, "a b c d e f", "z", 1), (1, "a b c d e f", "y", 2), (2, "a b c d e f", "x", 3), (3, "q", "w", 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, rid string, root long")
+    one, other = (sorted(tuple(r) for r in nj.keep_one(x).collect()) for x in (df, df.orderBy(F.desc("root")).repartition(2)))
+    assert one == other and [r[0] for r in one] == [1, 3] and len(one[0]) == 4
 
 
 def test_keep_one(hard):
