@@ -11,8 +11,8 @@ count for the components, none is sampled away.
   met, the prefix grows by one token, so two sets that share no rare token there share two of one group.
 * A posting carries ``rest``, the most tokens that its set can share with another whose first common signature this
   is. A pair is looked at only where both rests reach 3/7 of the summed sizes (which is what 0.75 needs) - the positional bound.
-* In each signature one member, the one with the least rarer than the signature, is the pivot; all others are checked against it.
-  What is then in one component needs no further check. Members outside the pivot's component meet the others by bands
+* Members of a signature that few sets have are paired with each other. In a longer list one member, the one with the least rarer
+  than the signature, is the pivot; all others are checked against it. What is then in one component needs no further check. Members outside the pivot's component meet the others by bands
   of sizes: a member is dealt to just the bands that its rest allows, so texts with enough tokens of their own meet nobody.
 * A check counts the shared tokens of both whole sets.
 * Signatures that very many sets may hold are salted: each salt has its own pivot, and the bands bring the salts together.
@@ -44,10 +44,10 @@ CELL_BITS, CELL_PARTS = 23, 32
 MAP_BITS = 26
 #: Postings that a worker holds before it sends them, and bytes of a batch sent to a worker.
 PART_POSTINGS, BATCH_BYTES = 400_000, 8 << 20
-#: A token that more prefixes hold is frequent. At most so many frequent tokens are broadcast (9 bytes each); where there are more, those in the most prefixes count.
-MANY, MOST_FREQUENT = 64, 1 << 21
-#: Counts of prefixes are repeated after tokens turned frequent, as prefixes then reach further; they steer only.
-ROUNDS = 2
+#: Tokens that more than MANY prefixes hold are listed and come last; at most so many are broadcast (9 bytes each), of more those in the most prefixes.
+MANY, MOST_LISTED = 7, 1 << 21
+#: From 2 ** FREQUENT sets on a token is frequent.
+FREQUENT = 6
 #: A signature that 2 ** level sets may hold is dealt to 2 ** (level - SALT_LEVEL) salts.
 SALT_LEVEL = 12
 #: Bands of sizes grow by a twentieth.
@@ -132,27 +132,27 @@ def add_cells(batches):
 
 
 class Classes:
-    """Levels of cells, and the frequent tokens with theirs."""
+    """Levels of cells, and the listed tokens (those that several prefixes hold) with theirs."""
 
     def __init__(self, levels: np.ndarray, noise: int, token: np.ndarray, level: np.ndarray):
         order = np.argsort(token)
         self.levels, self.noise, self.token, self.level = levels, noise, token[order], level[order]
 
-    def of(self, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Level of each token, and whether it is frequent."""
+    def of(self, token: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Level of each token, whether it is listed (or its cell stands out), and whether it is frequent."""
         level = self.levels[token >> U(64 - CELL_BITS)]
-        hot = level >= max(6, self.noise + 2)
+        listed = level >= max(FREQUENT, self.noise + 2)
         if len(self.token):
             at = np.minimum(np.searchsorted(self.token, token), len(self.token) - 1)
-            listed = (self.token[at] == token) & ~hot
-            level = np.where(listed, self.level[at], level)
-            hot |= listed
-        return level, hot
+            here = (self.token[at] == token) & ~listed
+            level = np.where(here, self.level[at], level)
+            listed |= here
+        return level, listed, listed & (level >= FREQUENT)
 
     def order(self, token: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Tokens of each document, from rare to frequent, with levels and classes. doc: ascending."""
-        level, hot = self.of(token)
-        at = np.argsort((hot.astype(U) << U(63)) | (level.astype(U) << U(57)) | (token >> U(7)), kind="stable")
+        level, listed, hot = self.of(token)
+        at = np.argsort((listed.astype(U) << U(63)) | (level.astype(U) << U(57)) | (token >> U(7)), kind="stable")
         at = at[np.argsort(doc[at].astype(np.uint32), kind="stable")]
         return token[at], level[at], hot[at]
 
@@ -173,24 +173,18 @@ def ordered_sets(batch: pa.RecordBatch, classes: Classes):
         yield token, level, hot, bounds, doc, np.arange(len(token)) - bounds[:-1][doc], node, fresh
 
 
-def count_prefixes(classes, before, buckets: int):
-    """How many sets of a batch hold each rare token in their prefix, by bucket of the token; after a first count, of sets whose prefix changed."""
+def count_prefixes(classes, buckets: int):
+    """How many sets of a batch hold each unlisted token in their prefix, by bucket of the token."""
 
     def step(batches):
-        now, old = classes.value, before and before.value
         for batch in batches:
             found = []
-            for token, _, hot, bounds, doc, rank, _, fresh in ordered_sets(batch, now):
-                n = np.diff(bounds)
-                inside = fresh[doc] & (rank < (n // 4 + 1)[doc])
-                if old is not None:
-                    turned = np.zeros(len(n), bool)
-                    level, was = old.of(token)
-                    turned[doc[hot & ~was]] = True
-                    inside &= turned[doc]
-                found.append(token[inside & ~hot])
+            for token, _, _, bounds, doc, rank, _, fresh in ordered_sets(batch, classes.value):
+                found.append(token[fresh[doc] & (rank < (np.diff(bounds) // 4 + 1)[doc])])
             if found:
                 token, count = np.unique(np.concatenate(found), return_counts=True)
+                some = ~classes.value.of(token)[1]
+                token, count = token[some], count[some]
                 yield sent(COUNT_PART, (token % U(buckets)).astype(np.int64), {"token": token, "count": count.astype(np.uint32)})
 
     return step
@@ -221,9 +215,9 @@ def add_counts(many: int):
     return step
 
 
-def frequent_tokens(counts: DataFrame, classes: Classes) -> Classes:
-    """Classes with the tokens counted; of more than MOST_FREQUENT those of the higher levels."""
-    room = MOST_FREQUENT - len(classes.token)
+def listed_tokens(counts: DataFrame, classes: Classes) -> Classes:
+    """Classes with the tokens counted; of more than MOST_LISTED those of the higher levels."""
+    room = MOST_LISTED - len(classes.token)
     tall, least = counts.groupBy("level").count().orderBy(F.desc("level")).collect(), 1 << 30
     for r in tall:
         room -= r["count"]
@@ -263,8 +257,13 @@ def signatures(token: np.ndarray, frequent: np.ndarray, level: np.ndarray) -> tu
         i = np.arange(len(own))
         left = np.repeat(i, last - 1 - i)
         right = np.arange(len(left)) - np.repeat(np.cumsum(last - 1 - i) - (last - 1 - i), last - 1 - i) + left + 1
-        # Up to the first two common tokens of one group at most one token for each group, and one more, is common.
-        rest = np.minimum(n, n - np.maximum(at[left], at[right]) + groups)
+        # Up to the first two common tokens of one group, one token of each group met before the second, and that second one, can be common.
+        seen = np.zeros(end + 1, np.int64)
+        _, opens = np.unique(group[:end][~alone], return_index=True)
+        seen[np.flatnonzero(~alone)[opens] + 1] = 1
+        seen = np.cumsum(seen)
+        second = np.maximum(at[left], at[right])
+        rest = n - second + seen[second]
         out.append((tk.mix(tk.mix(own[left] + U(size + 1) * _K) * _K + own[right]), rest, np.minimum(high[left], high[right])))
     sig, rest, high = (np.concatenate(x) for x in zip(*out, strict=True))
     _, first = np.unique(sig, return_index=True)
@@ -316,7 +315,10 @@ def some_partner(group: np.ndarray, n: np.ndarray, rest: np.ndarray, salted: np.
 
 
 def meet_postings(batch: pa.RecordBatch):
-    """Pairs of members and their signature's pivot (sig null, a, b), and postings of signatures with three members or more (sig, a, n, rest)."""
+    """Pairs (sig null, a, b), and postings of signatures with more than MANY + 1 members (sig, a, n, rest).
+
+    Members of a shorter list are paired with each other, those of a longer one with its pivot.
+    """
     sig, node, n, rest, salted = (read(batch, c, k) for c, k in (("sig", U), ("node", np.int64), ("n", np.uint32), ("rest", np.uint32), ("salted", np.uint8)))
     order = np.lexsort((node, sig))
     order = order[an.first_of_groups(sig[order], node[order])] if len(sig) else order
@@ -332,13 +334,19 @@ def meet_postings(batch: pa.RecordBatch):
     at = np.flatnonzero(an.first_of_groups(sig))
     size = np.diff(np.r_[at, len(sig)])
     group = np.repeat(np.arange(len(at)), size)
+    long = (size[group] > MANY + 1) | salted
     pivot = np.lexsort((node, -(rest / n), group))[at][group]
-    met = (node != node[pivot]) & possible(n, rest, n[pivot], rest[pivot])
-    a, b = np.minimum(node, node[pivot])[met], np.maximum(node, node[pivot])[met]
+    sides = [(np.flatnonzero(long), pivot[long])]
+    for step in range(1, MANY + 1):
+        one = np.flatnonzero(~long[:-step] & (group[:-step] == group[step:]))
+        sides.append((one, one + step))
+    one, two = (np.concatenate(x) for x in zip(*sides, strict=True))
+    met = (node[one] != node[two]) & possible(n[one], rest[one], n[two], rest[two])
+    one, two = one[met], two[met]
+    a, b = np.minimum(node[one], node[two]), np.maximum(node[one], node[two])
     order = np.lexsort((b, a))
     order = order[an.first_of_groups(a[order], b[order])] if len(a) else order
     a, b = a[order], b[order]
-    long = (size[group] > 2) | salted
     none, some = pa.nulls(len(a), pa.int64()), long.sum()
     yield pa.RecordBatch.from_arrays([none, pa.array(a), pa.array(b), none, none], names=["sig", "a", "b", "n", "rest"])
     yield pa.RecordBatch.from_arrays([pa.array(sig[long].view(np.int64)), pa.array(node[long]), pa.nulls(some, pa.int64()), pa.array(n[long]), pa.array(rest[long])], names=["sig", "a", "b", "n", "rest"])
@@ -398,15 +406,30 @@ def check(pairs: DataFrame, read_sets) -> DataFrame:
     return found
 
 
+def most_of_partner():
+    """The largest partner that a posting's rest allows."""
+    return F.least(F.floor(7 * F.col("rest") / 3).cast("long") - F.col("n"), F.floor(4 * F.col("n") / 3).cast("long"))
+
+
+def least_of_partner():
+    return F.ceil(3 * F.col("n") / 4).cast("long")
+
+
+def in_reach(rows: DataFrame) -> DataFrame:
+    """Rows without the members of the pivot's component that no member outside it can be linked with by size."""
+    reach = rows.filter("root <> main").groupBy("sig").agg(F.min(least_of_partner()).alias("from_n"), F.max(most_of_partner()).alias("to_n"))
+    return rows.join(reach, "sig").filter((F.col("root") != F.col("main")) | F.col("n").between(F.col("from_n"), F.col("to_n"))).drop("from_n", "to_n")
+
+
 def banded(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Both sides of the meeting of members outside their pivot's component with all members, keyed by signature and the bands of the lesser and larger size.
 
     rows: (sig, node, n, rest, root, main). A posting goes to the bands of partners that its rest allows, first as the lesser of a pair, then as the larger.
     """
     band = lambda c: F.floor(F.log(c) * BANDS).cast("int")
-    most = F.least(F.floor(7 * F.col("rest") / 3).cast("long") - F.col("n"), F.floor(4 * F.col("n") / 3).cast("long"))
+    most, least = most_of_partner(), least_of_partner()
     lesser = F.when(most >= F.col("n"), F.sequence(band("n"), band(most)))
-    larger = F.when(most >= F.ceil(3 * F.col("n") / 4), F.sequence(band(F.ceil(3 * F.col("n") / 4)), band(F.least(most, F.col("n")))))
+    larger = F.when(most >= least, F.sequence(band(least), band(F.least(most, F.col("n")))))
     as_lesser = rows.select("*", F.explode(lesser).alias("other")).withColumn("low", band("n")).withColumnRenamed("other", "high")
     as_larger = rows.select("*", F.explode(larger).alias("other")).withColumn("high", band("n")).withColumnRenamed("other", "low")
     return as_lesser.select("sig", "low", "high", "node", "n", "rest", "root", "main"), as_larger.select("sig", "low", "high", "node", "n", "rest", "root", "main")
@@ -436,7 +459,7 @@ def link(met: DataFrame, read_sets) -> DataFrame:
     open_ones = rows.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max(F.struct((F.col("rest") / F.col("n")).alias("share"), "root")).alias("pivot"))
     open_ones = open_ones.filter("lo <> hi").select("sig", F.col("pivot.root").alias("main"))
     rows = materialize(rows.join(open_ones, "sig"), "open")
-    later = materialize(rest_of_pairs(rows).join(pairs, ["a", "b"], "left_anti"), "banded-pairs")
+    later = materialize(rest_of_pairs(in_reach(rows)).join(pairs, ["a", "b"], "left_anti"), "banded-pairs")
     if not later.isEmpty():
         more = check(later, read_sets)
         if not more.isEmpty():
@@ -478,19 +501,14 @@ def found_components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     levels = cell_levels(table)
     mean = (member.agg(F.sum("n")).first()[0] or 0) / (1 << CELL_BITS)
     noise = int(np.floor(np.log2(mean + 4 * mean**0.5 + 1)))
-    classes, before = Classes(levels, noise, np.zeros(0, U), np.zeros(0, np.uint8)), None
+    classes = Classes(levels, noise, np.zeros(0, U), np.zeros(0, np.uint8))
     shared = spark.sparkContext.broadcast(classes)
     buckets = packed_buckets(total // 6 // 4 * 24)
     few = partitions_for(spark, buckets)
-    for _ in range(ROUNDS):
-        counts = an.meet(rows.select("text").mapInArrow(present(count_prefixes(shared, before, buckets)), COUNT_PART), few)
-        counts = materialize(counts.mapInArrow(by_bucket(add_counts(MANY)), "token long, level int"), "counts")
-        more = frequent_tokens(counts, classes)
-        discard(counts)
-        if len(more.token) == len(classes.token):
-            break
-        classes, before = more, shared
-        shared = spark.sparkContext.broadcast(classes)
+    counts = an.meet(rows.select("text").mapInArrow(present(count_prefixes(shared, buckets)), COUNT_PART), few)
+    counts = materialize(counts.mapInArrow(by_bucket(add_counts(MANY)), "token long, level int"), "counts")
+    shared = spark.sparkContext.broadcast(listed_tokens(counts, classes))
+    discard(counts)
     postings = an.meet(rows.select("text").mapInArrow(present(index_sets(shared, buckets)), POSTING_PART), few)
     met = materialize(postings.mapInArrow(by_bucket(meet_postings), "sig long, a long, b long, n long, rest long"), "postings")
 
