@@ -14,7 +14,7 @@ count for the components, none is sampled away.
 * Members of a signature that few sets have are paired with each other. In a longer list one member, the one with the least rarer
   than the signature, is the pivot; all others are checked against it. What is then in one component needs no further check. Members outside the pivot's component meet the others by bands
   of sizes: a member is dealt to just the bands that its rest allows, so texts with enough tokens of their own meet nobody.
-* A check counts the shared tokens of both whole sets.
+* A check first compares parity bits of both sets, whose distance is at most that of the sets, then counts the shared tokens of both whole sets.
 * Signatures that very many sets may hold are salted: each salt has its own pivot, and the bands bring the salts together.
 
 Nodes (distinct sets) and tokens are 64-bit hashes. Defined results: a null or wordless text has an empty set and is its own
@@ -50,6 +50,8 @@ MANY, MOST_LISTED = 7, 1 << 21
 FREQUENT = 6
 #: A signature that 2 ** level sets may hold is dealt to 2 ** (level - SALT_LEVEL) salts.
 SALT_LEVEL = 12
+#: Words of a set's parity bits.
+SKETCH = 16
 #: Bands of sizes grow by a twentieth.
 BANDS = 20
 #: Up to so many nodes (8 bytes each) are broadcast to thin out token sets before a check; more are met by shuffle.
@@ -89,27 +91,41 @@ def nodes_of(token: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return tk.mix(one ^ tk.mix(two + size)).view(np.int64)
 
 
+def sketches(token: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """For each set SKETCH words of 64 bits; a bit tells whether an odd number of tokens fall on it."""
+    out = np.zeros((len(bounds) - 1, SKETCH), np.int64)
+    some = np.flatnonzero(np.diff(bounds))
+    if len(some):
+        mixed = tk.mix(token ^ _K)
+        bit, word = U(1) << (mixed & U(63)), (mixed >> U(6)) % U(SKETCH)
+        for w in range(SKETCH):
+            out[some, w] = np.bitwise_xor.reduceat(np.where(word == w, bit, U(0)), bounds[:-1][some]).view(np.int64)
+    return out
+
+
 def sets_and_cells(batches):
-    """(rid, doc_id, n, node) of each row, and the partition's token counts by cell, packed."""
+    """(rid, doc_id, n, node, sketch) of each row, and the partition's token counts by cell, packed."""
     cells = np.zeros(1 << CELL_BITS, np.uint32)
-    names = ["rid", "doc_id", "n", "node", "bucket", "counts"]
+    names = ["rid", "doc_id", "n", "node", "sketch", "bucket", "counts"]
     kinds = None
     for batch in batches:
         kinds = batch.column("doc_id").type
-        n, node = [], []
+        n, node, bits = [], [], []
         for _, _, data, offs in tk.blocks(batch.column("text"), 1 << 20):
             token, bounds = block_sets(data, offs)
             n.append(np.diff(bounds))
             node.append(nodes_of(token, bounds))
+            bits.append(sketches(token, bounds))
             cell, count = np.unique((token >> U(64 - CELL_BITS)).astype(np.int32), return_counts=True)
             cells[cell] += count.astype(np.uint32)
         if n:
             rows = batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("doc_id"), pa.array(np.concatenate(n)), pa.array(np.concatenate(node)), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names=names)
+            sketch = pa.ListArray.from_arrays(np.arange(rows + 1, dtype=np.int32) * SKETCH, np.concatenate(bits).ravel())
+            yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("doc_id"), pa.array(np.concatenate(n)), pa.array(np.concatenate(node)), sketch, pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names=names)
     if kinds is not None:
         for i, part in enumerate(np.split(cells, CELL_PARTS)):
             packed = zlib.compress(part.tobytes(), 1)
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, kinds), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([i], pa.int32()), pa.array([packed], pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, kinds), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int64())), pa.array([i], pa.int32()), pa.array([packed], pa.binary())], names=names)
 
 
 def add_cells(batches):
@@ -395,14 +411,28 @@ def ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
 
 
-def check(pairs: DataFrame, read_sets) -> DataFrame:
-    """Links among distinct pairs (a, b). read_sets: nodes -> (node, tokens), some further nodes included."""
+def alike_enough(pairs: DataFrame, sketched: DataFrame) -> DataFrame:
+    """Pairs whose sketches differ in no more bits than sets of 0.75 can: 1/7 of both sizes. Each token of just one set changes one bit, so none is lost."""
+    for x in "ab":
+        pairs = pairs.join(sketched.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}")), x)
+    differing = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda x, y: x + y)
+    return pairs.filter(7 * differing <= F.col("n_a") + F.col("n_b")).select("a", "b")
+
+
+def check(pairs: DataFrame, member: DataFrame, read_sets) -> DataFrame:
+    """Links among distinct pairs (a, b). member: (node, n, sketch) of each row; read_sets: nodes -> (node, tokens), some further nodes included."""
+
+    def only(nodes, table):
+        some = F.broadcast(nodes) if nodes.limit(SMALL_NODES + 1).count() <= SMALL_NODES else nodes
+        return table.join(some, "node", "left_semi")
+
+    asked = materialize(ends(pairs), "asked")
+    pairs = materialize(alike_enough(pairs, only(asked, member.select("node", "n", "sketch")).dropDuplicates(["node"])), "alike")
     few = materialize(ends(pairs), "ends")
     sets = read_sets(few)
-    some = F.broadcast(few) if few.limit(SMALL_NODES + 1).count() <= SMALL_NODES else few
-    left, right = (sets.join(some, "node", "left_semi").select(F.col("node").alias(x), F.col("tokens").alias(f"tokens_{x}")) for x in "ab")
+    left, right = (only(few, sets).select(F.col("node").alias(x), F.col("tokens").alias(f"tokens_{x}")) for x in "ab")
     found = materialize(pairs.join(right, "b").join(left, "a").mapInArrow(check_pairs, "a long, b long"), "found")
-    discard(few, sets)
+    discard(asked, pairs, few, sets)
     return found
 
 
@@ -449,10 +479,10 @@ def rest_of_pairs(rows: DataFrame) -> DataFrame:
     return found.distinct()
 
 
-def link(met: DataFrame, read_sets) -> DataFrame:
+def link(met: DataFrame, member: DataFrame, read_sets) -> DataFrame:
     """(node, root) of all linked nodes. met: what ``meet_postings`` gives."""
     pairs = materialize(met.filter("sig IS NULL").select("a", "b").distinct(), "star-pairs")
-    found = check(pairs, read_sets)
+    found = check(pairs, member, read_sets)
     roots = components(found)
     rows = met.filter("sig IS NOT NULL").select("sig", F.col("a").alias("node"), "n", "rest")
     rows = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -461,7 +491,7 @@ def link(met: DataFrame, read_sets) -> DataFrame:
     rows = materialize(rows.join(open_ones, "sig"), "open")
     later = materialize(rest_of_pairs(in_reach(rows)).join(pairs, ["a", "b"], "left_anti"), "banded-pairs")
     if not later.isEmpty():
-        more = check(later, read_sets)
+        more = check(later, member, read_sets)
         if not more.isEmpty():
             # Later links only join components: they are contracted to links of roots.
             for x in "ab":
@@ -495,9 +525,9 @@ def found_components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(row_key(id_col, text_col).alias("rid"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     total = text_bytes(docs, text_col)
-    schema = T.StructType().add("rid", "long").add("doc_id", rows.schema["doc_id"].dataType).add("n", "long").add("node", "long").add("bucket", "integer").add("counts", "binary")
+    schema = T.StructType().add("rid", "long").add("doc_id", rows.schema["doc_id"].dataType).add("n", "long").add("node", "long").add("sketch", T.ArrayType(T.LongType())).add("bucket", "integer").add("counts", "binary")
     table = materialize(rows.mapInArrow(sets_and_cells, schema), "sets")
-    member = table.filter("bucket IS NULL").select("rid", "doc_id", "n", "node")
+    member = table.filter("bucket IS NULL").select("rid", "doc_id", "n", "node", "sketch")
     levels = cell_levels(table)
     mean = (member.agg(F.sum("n")).first()[0] or 0) / (1 << CELL_BITS)
     noise = int(np.floor(np.log2(mean + 4 * mean**0.5 + 1)))
@@ -523,7 +553,7 @@ def found_components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         wanted = spark.sparkContext.broadcast(Bits(packed))
         return materialize(rows.select("rid", "text").mapInArrow(emit_sets(wanted), "node long, tokens binary"), "token-sets")
 
-    roots = link(met, read_sets)
+    roots = link(met, member, read_sets)
     discard(met)
     out = member.join(roots, "node", "left").withColumn("root", F.when(F.col("n") > 0, F.coalesce("root", "node")))
     least = out.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"))
