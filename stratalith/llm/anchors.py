@@ -19,6 +19,7 @@ from typing import NamedTuple
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textkernel as tk
 
@@ -71,6 +72,8 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 def find(runs: Runs, sym: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Anchors of a block: hash, hash of the context, document number, position in the document."""
     k, length = runs.gram, runs.length
+    if len(sym) > 1 << 28:
+        raise ValueError("a text of more than 2 ** 28 symbols")
     full = tk.windows_ok(bounds, length)
     none = np.zeros(0, U)
     if not full.any():
@@ -79,7 +82,6 @@ def find(runs: Runs, sym: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, n
     key = (g & ~LOW28) | (LOW28 - (np.arange(len(g), dtype=U) & LOW28))
     least = sliding_min(key, length - k + 1)[full]
     at = np.zeros(len(g), bool)
-    # The position is kept modulo 2^28 symbols; a block that is longer is one text, cut by the caller's runs.
     at[(LOW28 - (least & LOW28)).astype(np.int64)] = True
     pos = np.flatnonzero(at)
     doc = np.searchsorted(bounds, pos, side="right") - 1
@@ -111,8 +113,10 @@ def pack(**arrays: np.ndarray) -> dict[str, bytes]:
     return {k: np.ascontiguousarray(v).tobytes() for k, v in arrays.items()}
 
 
-def row_id(id_col: str, text_col: str):
+def row_id(docs: DataFrame, id_col: str, text_col: str):
     """(id, tie) of a row as columns."""
+    if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        raise TypeError(f"{id_col} must be an integer column: earlier documents have smaller ids")
     text = F.coalesce(F.col(text_col), F.lit(""))
     return F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.xxhash64(text).alias("tie")
 

@@ -56,7 +56,7 @@ def shingled(windows: DataFrame, shingle: int) -> DataFrame:
 
 
 def shingle_hits(docs: DataFrame, grams: DataFrame, shingle: int, broadcast_rows: int) -> DataFrame:
-    """(row, doc_id, pos, key): where documents have a shingle of the benchmark."""
+    """(row, doc_id, size, pos, key): where documents have a shingle of the benchmark, and how many words they have."""
     keys = grams.select("width", "key").distinct()
     small = keys.limit(broadcast_rows + 1).count() <= broadcast_rows
     found = []
@@ -67,15 +67,15 @@ def shingle_hits(docs: DataFrame, grams: DataFrame, shingle: int, broadcast_rows
             continue
         # A shingle is built only at words that start one of the benchmark's.
         first = side.select(F.substring_index("key", " ", 1).alias("first")).distinct()
-        at = words.select("row", "doc_id", "w", F.posexplode("w").alias("pos", "first"))
+        at = words.select("row", "doc_id", "w", F.size("w").alias("size"), F.posexplode("w").alias("pos", "first"))
         if small:
             at = at.join(F.broadcast(first), "first", "left_semi")
-        at = at.filter(F.col("pos") + n <= F.size("w"))
-        at = at.select("row", "doc_id", "pos", reduce(lambda a, b: F.concat(a, F.lit(" "), b), [F.element_at("w", F.col("pos") + 1 + i) for i in range(n)]).alias("key"))
+        at = at.filter(F.col("pos") + n <= F.col("size"))
+        at = at.select("row", "doc_id", "size", "pos", reduce(lambda a, b: F.concat(a, F.lit(" "), b), [F.element_at("w", F.col("pos") + 1 + i) for i in range(n)]).alias("key"))
         found.append(at.join(F.broadcast(side) if small else side, "key"))
     if not found:
-        return words.select("row", "doc_id", F.lit(0).alias("pos"), F.lit("").alias("key")).filter(F.lit(False))
-    return reduce(DataFrame.unionByName, found).select("row", "doc_id", "pos", "key")
+        return words.select("row", "doc_id", F.lit(0).alias("size"), F.lit(0).alias("pos"), F.lit("").alias("key")).filter(F.lit(False))
+    return reduce(DataFrame.unionByName, found).select("row", "doc_id", "size", "pos", "key")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, shingle: int = SHINGLE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -89,7 +89,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW
     rare = W.partitionBy("window").orderBy("n", "offset")
     prefix = ranked.withColumn("rank", F.row_number().over(rare)).filter("rank = 1 AND n > 0").select("window", "n_words", "width", "offset", "key")
     small = prefix.limit(broadcast_rows + 1).count() <= broadcast_rows
-    cand = hits.join(F.broadcast(prefix) if small else prefix, "key").select("row", "doc_id", "window", "n_words", "width", (F.col("pos") - F.col("offset")).alias("start")).filter("start >= 0").distinct()
+    cand = hits.join(F.broadcast(prefix) if small else prefix, "key").withColumn("start", F.col("pos") - F.col("offset"))
+    cand = cand.filter("start >= 0 AND start + n_words <= size").select("row", "doc_id", "window", "n_words", "width", "start").distinct()
     need = cand.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n_words") - F.col("width"))))
     want = grams.select("window", F.col("offset").alias("i"), "key")
     need = need.join(F.broadcast(want) if small else want, ["window", "i"]).withColumn("pos", F.col("start") + F.col("i"))
@@ -111,10 +112,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, broadcast_rows: int = BROADCAST_ROWS, **how) -> DataFrame:
-    """The rows of ``docs`` in which no window of the benchmark occurs, as they are."""
+    """The rows of ``docs`` in which no window of the benchmark occurs, as they are; columns may have any names."""
     hit = materialize(contamination(docs, benchmark, broadcast_rows=broadcast_rows, **how).select("row").distinct(), "contaminated")
     small = hit.limit(broadcast_rows + 1).count() <= broadcast_rows
-    return docs.withColumn("row", row_key()).join(F.broadcast(hit) if small else hit, "row", "left_anti").select(docs.columns)
+    whole = docs.select(row_key().alias("row"), F.struct(*docs.columns).alias("whole"))
+    return whole.join(F.broadcast(hit) if small else hit, "row", "left_anti").select("whole.*")
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -125,7 +125,9 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     usable = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.trim("text") != "") & ~held_out())
     key = F.md5(F.col("doc_id").cast("string").cast("binary"))
     picked = usable.filter(F.col("doc_id").isNotNull()).select("doc_id").orderBy(key, "doc_id").limit(sample).distinct()
-    rows = usable.join(F.broadcast(picked), "doc_id").select("doc_id", "lang", "text").mapInArrow(sparse_counts, docs.select("doc_id").schema.add("lang", "string").add("idx", "binary").add("share", "binary")).collect()
+    # One row for each id of the sample, which bounds what the driver gets.
+    once = usable.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min_by(F.struct("lang", "text"), F.struct(F.xxhash64("text"), "lang")).alias("row"))
+    rows = once.select("doc_id", "row.lang", "row.text").mapInArrow(sparse_counts, docs.select("doc_id").schema.add("lang", "string").add("idx", "binary").add("share", "binary")).collect()
     rows.sort(key=lambda r: (str(r["doc_id"]), r["lang"], r["idx"]))
     langs = sorted({r["lang"] for r in rows})
     found = [(np.frombuffer(r["idx"], np.int32), np.frombuffer(r["share"], np.float32)) for r in rows]

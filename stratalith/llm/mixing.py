@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: A source dimension of up to this many rows is broadcast; a larger one is joined by shuffle.
-SMALL_SOURCES = 10_000
+#: Distribution tables of up to so many values in all (8 bytes each) are broadcast; larger ones are joined by shuffle.
+SMALL_TABLES = 1_000_000
 
 
 def uniform(*parts):
@@ -39,10 +39,14 @@ def source_rates(docs: DataFrame, source: str, weights: dict | None, alpha: floa
     return n.crossJoin(F.broadcast(total)).select("_source", (F.col("_w") / F.col("_sw") * F.col("_sn") * F.lit(epochs) / F.col("_n")).alias("_mean"))
 
 
+def last_value():
+    """Up to where a source's distribution function is listed: far into the upper tail."""
+    return F.ceil(F.col("_mean") + 12 * F.sqrt("_mean") + 30).cast("int")
+
+
 def poisson_tables(rates: DataFrame) -> DataFrame:
-    """(source, cdf array): the distribution function at 0, 1, ..., far into the upper tail."""
-    last = F.ceil(F.col("_mean") + 12 * F.sqrt("_mean") + 30).cast("int")
-    k = rates.filter("_mean > 0").select("_source", "_mean", F.explode(F.sequence(F.lit(0), last)).alias("_k"))
+    """(source, cdf array): the distribution function at 0, 1, ..., ``last_value``."""
+    k = rates.filter("_mean > 0").select("_source", "_mean", F.explode(F.sequence(F.lit(0), last_value())).alias("_k"))
     by = W.partitionBy("_source").orderBy("_k").rowsBetween(W.unboundedPreceding, 0)
     logs = k.withColumn("_f", F.sum(F.ln(F.greatest(F.col("_k"), F.lit(1)).cast("double"))).over(by))
     pmf = logs.withColumn("_p", F.exp(F.col("_k") * F.ln("_mean") - F.col("_mean") - F.col("_f")))
@@ -56,15 +60,17 @@ def poisson_mix(docs: DataFrame, *, weights: dict | None = None, alpha: float =
     epochs: expected rows out, as a multiple of the rows in.
     """
     docs = docs.drop("copy", "n_copies", "shuffle_key")
-    tables = poisson_tables(source_rates(docs, source, weights, alpha, epochs))
-    if tables.limit(SMALL_SOURCES + 1).count() <= SMALL_SOURCES:
+    rates = source_rates(docs, source, weights, alpha, epochs)
+    tables = poisson_tables(rates)
+    if (rates.agg(F.sum(last_value())).first()[0] or 0) <= SMALL_TABLES:
         tables = F.broadcast(tables)
     u = uniform(F.lit(seed), F.col(id_col))
-    drawn = docs.join(tables, F.col(source).eqNullSafe(F.col("_source"))).withColumn("_u", u)
+    rows = docs.select(F.struct(*docs.columns).alias("whole"), F.col(id_col).cast("string").alias("_id"), F.col(source).alias("_of"), u.alias("_u"))
+    drawn = rows.join(tables, F.col("_of").eqNullSafe(F.col("_source")))
     drawn = drawn.withColumn("n_copies", F.size(F.filter("_cdf", lambda c: c <= F.col("_u"))).cast("long")).filter("n_copies > 0")
-    out = drawn.select(*docs.columns, "n_copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_copies"))).alias("copy"))
-    key = F.md5(F.concat_ws("|", F.lit(f"{seed}-order"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.col("copy").cast("string")).cast("binary"))
-    return out.withColumn("shuffle_key", key).repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    out = drawn.select("whole", "_id", "n_copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_copies"))).alias("copy"))
+    key = F.md5(F.concat_ws("|", F.lit(f"{seed}-order"), F.coalesce("_id", F.lit("null")), F.col("copy").cast("string")).cast("binary"))
+    return out.select("whole.*", "n_copies", "copy", key.alias("shuffle_key")).repartition("shuffle_key").sortWithinPartitions("shuffle_key")
 
 
 def op7_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

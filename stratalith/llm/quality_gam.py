@@ -123,7 +123,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, l
     """(doc_id, held_out, score) of each row."""
     stats = text_counts(docs, id_col=id_col, text_col=text_col).select("doc_id", *(F.expr(e).cast("double").alias(n) for n, e in FEATURES.items()))
     table = materialize(stats, "gam-features")
-    known = table.join(F.broadcast(learning_sample(labels, label, sample, id_col)), "doc_id").toPandas()
+    # One row for each id of the sample, which bounds what the driver gets.
+    known = table.join(F.broadcast(learning_sample(labels, label, sample, id_col)), "doc_id").groupBy("doc_id").agg(F.min(F.struct(*FEATURES, "label")).alias("row")).select("doc_id", "row.*").toPandas()
     known = known.sort_values(["doc_id", *FEATURES], ignore_index=True)
     model = Gam(known[list(FEATURES)].to_numpy(float), known["label"].to_numpy(float))
 

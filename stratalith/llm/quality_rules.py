@@ -20,6 +20,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +28,8 @@ from .common import materialize
 from .features import held_out, text_counts
 
 MIN_WORDS, REPEAT_PERCENT = 20, 30
+#: Cutoffs of so many strata (a few dozen bytes each) are broadcast.
+SMALL_STRATA = 10_000
 #: name: (statistic, whether high values are bad, grid from loose to strict)
 RULES = {
     "long_words": ("word_chars / greatest(n_words, 1)", True, [40.0, 30.0, 25.0, 20.0, 17.0, 15.0, 13.0, 12.0, 11.0, 10.0]),
@@ -58,19 +61,30 @@ def upper_bound(k: int, n: int, delta: float) -> float:
     return hi
 
 
-def choose_cutoffs(counts: list[dict], limit: float, delta: float) -> dict[str, dict[str, float]]:
-    """Cutoffs by stratum and rule. counts: for each stratum ``stratum``, ``n`` and ``rule_i`` = good documents rejected at grid point i."""
-    share, error = limit / len(RULES), delta / max(1, len(RULES) * len(counts))
-    out: dict[str, dict[str, float]] = {}
-    for row in counts:
-        for rule, (_, _, grid) in RULES.items():
-            for i, cutoff in enumerate(grid):
-                if row["n"] == 0 or binomial_tail(row[f"{rule}_{i}"], row["n"], share) > error:
-                    break
-                out.setdefault(row["stratum"], {})[rule] = cutoff
+def choose_cutoffs(row: dict, strata: int, limit: float, delta: float) -> dict[str, float]:
+    """Cutoffs of one of ``strata`` strata by rule. row: ``n`` and ``rule_i`` = good documents rejected at grid point i."""
+    share, error = limit / len(RULES), delta / max(1, len(RULES) * strata)
+    out: dict[str, float] = {}
+    for rule, (_, _, grid) in RULES.items():
+        for i, cutoff in enumerate(grid):
+            if row["n"] == 0 or binomial_tail(int(row[f"{rule}_{i}"]), int(row["n"]), share) > error:
+                break
+            out[rule] = cutoff
     return out
 
 
+def cutoffs_of(counts: DataFrame, limit: float, delta: float) -> DataFrame:
+    """(stratum, cut_RULE, ...): a row for each stratum, null where a rule has no cutoff."""
+    strata = counts.count()
+
+    def step(frames):
+        for frame in frames:
+            found = [choose_cutoffs(row, strata, limit, delta) for row in frame.to_dict("records")]
+            yield pd.DataFrame({"stratum": frame["stratum"]} | {f"cut_{rule}": pd.Series([f.get(rule) for f in found], dtype=float) for rule in RULES})
+
+    return counts.mapInPandas(step, ", ".join(["stratum string", *(f"cut_{rule} double" for rule in RULES)]))
+
+
 def beyond(statistic: str, high: bool, cutoff):
     x = F.expr(statistic)
     return x > cutoff if high else x < cutoff
@@ -78,23 +92,21 @@ def beyond(statistic: str, high: bool, cutoff):
 
 def apply_rules(docs: DataFrame, labels: DataFrame, *, limit: float = 0.05, delta: float = 0.05, stratum: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, stratum, counts of features.COUNTS, base_failed, broken: array of rules, kept)."""
-    keyed = docs.withColumn("stratum", F.coalesce(F.col(stratum).cast("string"), F.lit("unknown")))
+    keyed = docs.select(F.col(id_col), F.col(text_col), F.coalesce(F.col(stratum).cast("string"), F.lit("unknown")).alias("stratum"))
     counts = text_counts(keyed, id_col=id_col, text_col=text_col, carry=("stratum",))
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     table = materialize(counts.withColumn("base_failed", base), "rule-counts")
     good = labels.filter(F.col("quality").isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("doc_id")).agg(F.min("quality").alias("quality")).filter("quality = 1").select("doc_id")
     held = table.filter("NOT base_failed").join(good, "doc_id", "left_semi")
     sums = [F.sum(beyond(s, high, c).cast("long")).alias(f"{rule}_{i}") for rule, (s, high, grid) in RULES.items() for i, c in enumerate(grid)]
-    # One row for each stratum; strata are languages, a small dimension.
-    cutoffs = choose_cutoffs([r.asDict() for r in held.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *sums).collect()], limit, delta)
-    broken = []
-    for rule, (s, high, _) in RULES.items():
-        hit = F.lit(False)
-        for name, own in sorted(cutoffs.items()):
-            if rule in own:
-                hit = hit | ((F.col("stratum") == name) & beyond(s, high, own[rule]))
-        broken.append(F.when(hit, F.lit(rule)))
-    out = table.withColumn("broken", F.filter(F.array(*broken), lambda x: x.isNotNull()))
+    counts = materialize(held.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *sums), "stratum-counts")
+    cutoffs = materialize(cutoffs_of(counts, limit, delta), "cutoffs")
+    # Strata are languages, most often few; more are joined by shuffle.
+    few = cutoffs.limit(SMALL_STRATA + 1).count() <= SMALL_STRATA
+    out = table.join(F.broadcast(cutoffs) if few else cutoffs, "stratum", "left")
+    cut = {rule: F.nanvl(F.col(f"cut_{rule}"), F.lit(None).cast("double")) for rule in RULES}
+    broken = [F.when(cut[rule].isNotNull() & beyond(s, high, cut[rule]), F.lit(rule)) for rule, (s, high, _) in RULES.items()]
+    out = out.withColumn("broken", F.filter(F.array(*broken), lambda x: x.isNotNull())).drop(*(f"cut_{rule}" for rule in RULES))
     return out.withColumn("kept", ~F.col("base_failed") & (F.size("broken") == 0))
 
 

@@ -274,7 +274,13 @@ def settle_contexts(runs: Runs, settle: Callable, doc_buckets: int) -> Callable:
     return by_bucket(one)
 
 
-def cut_texts(runs: Runs, rest_type: pa.DataType) -> Callable:
+def whole_characters(raw: bytes, gone: np.ndarray) -> np.ndarray:
+    """Bytes that are gone, with the other bytes of their characters."""
+    start = np.flatnonzero((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)
+    return np.repeat(np.maximum.reduceat(gone, start), np.diff(np.r_[start, len(raw)])) if len(raw) else gone
+
+
+def cut_texts(runs: Runs, rest_type: pa.DataType, characters: bool) -> Callable:
     """Texts and their SETTLED and RUN spots to kept texts."""
     schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.list_(pa.int64()))), ("kept", pa.binary()), ("rest", rest_type)])
     none = np.zeros((0, 2), np.int64)
@@ -308,6 +314,8 @@ def cut_texts(runs: Runs, rest_type: pa.DataType) -> Callable:
                 n, spans, kept = len(raw), none, raw
                 if at is not None:
                     gone, spans = removed(at, n)
+                    if characters:
+                        gone = whole_characters(raw, gone)
                     kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
             else:
                 w = raw.split()
@@ -327,10 +335,11 @@ def cut_texts(runs: Runs, rest_type: pa.DataType) -> Callable:
     return by_document(one, schema)
 
 
-def cut_repeats(docs: DataFrame, runs: Runs, settle: Callable, *, id_col: str, text_col: str) -> DataFrame:
+def cut_repeats(docs: DataFrame, runs: Runs, settle: Callable, *, id_col: str, text_col: str, characters: bool = False) -> DataFrame:
     """(id, n, n_removed, spans, kept, rest): each row of ``docs`` without the symbols of repeated runs.
 
     spans: [start, end) of removed symbols, merged; kept: what is left, as bytes; rest: the other columns.
+    characters: a character that loses a byte goes whole (from ``kept``; counts and spans stay those of the bytes).
     """
     spark = docs.sparkSession
     total = text_bytes(docs, text_col)
@@ -339,7 +348,7 @@ def cut_repeats(docs: DataFrame, runs: Runs, settle: Callable, *, id_col: str, t
     buckets = packed_buckets(int(total / apart * 32))
     texts = packed_buckets(total)
     few = partitions_for(spark, buckets)
-    keyed = docs.select(*an.row_id(id_col, text_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    keyed = docs.select(*an.row_id(docs, id_col, text_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     parts = keyed.mapInArrow(find_anchors(runs, buckets), ANCHOR_PART)
     spots = materialize(an.meet(parts, few).mapInArrow(compare_anchors(runs, texts), SPOT_PART), "anchor-spots")
 
@@ -347,7 +356,7 @@ def cut_repeats(docs: DataFrame, runs: Runs, settle: Callable, *, id_col: str, t
         other = [F.col(c) for c in docs.columns if c != text_col]
         rest = F.struct(*other) if full else F.lit(None).cast("boolean")
         # Packed spots are in ``ids`` and ``ties``, those of a text row in ``id`` and ``tie``.
-        rows = docs.select(*an.row_id(id_col, text_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"), rest.alias("rest"))
+        rows = docs.select(*an.row_id(docs, id_col, text_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"), rest.alias("rest"))
         rows = rows.select(an.doc_bucket(texts), F.lit(TEXT).alias("kind"), "id", "tie", "text", "rest")
         spots = spots.withColumnsRenamed({"id": "ids", "tie": "ties"})
         both = rows.unionByName(spots, allowMissingColumns=True)
@@ -358,4 +367,4 @@ def cut_repeats(docs: DataFrame, runs: Runs, settle: Callable, *, id_col: str, t
     final = met(spots.filter(F.col("kind") == SETTLED).unionByName(found), True)
     rest_type = final.schema["rest"].dataType
     out = T.StructType.fromDDL("id long, n long, n_removed long, spans array<array<long>>, kept binary").add("rest", rest_type)
-    return final.mapInArrow(cut_texts(runs, to_arrow_type(rest_type)), out)
+    return final.mapInArrow(cut_texts(runs, to_arrow_type(rest_type), characters), out)

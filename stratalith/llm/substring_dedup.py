@@ -10,7 +10,8 @@ Words are `[^ \\x09-\\x0D]+` and compared unchanged, by 64-bit hashes within one
 
 Defined results: a null text is empty (no words); a text of fewer than 35 words loses none; rows with one
 doc_id and different texts are different documents; rows alike in both are one document, given back as
-often as it came, and no repeat of itself; a null doc_id is an id like others; an empty table gives an empty table.
+often as it came, and no repeat of itself; a null doc_id is an id like others; an empty table gives an empty table. Ids are integers,
+others raise a TypeError; a text of more than 2^28 words raises a ValueError. Input columns named as an output column are replaced.
 """
 
 from __future__ import annotations
@@ -52,7 +53,7 @@ def extend(runs: Runs, anchor: np.ndarray, context: np.ndarray, sides: np.ndarra
 def remove_repeats(docs: DataFrame, *, words: int = RUNS.length, gram: int = RUNS.gram, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Columns of ``docs`` with ``kept_text`` in place of nothing else, n_words, n_removed and spans ([start, end) in words)."""
     out = cut_repeats(docs, Runs(words, gram, "word", False), extend, id_col=id_col, text_col=text_col)
-    rest = [F.col(f"rest.`{c}`").alias(c) for c in docs.columns if c != text_col]
+    rest = [F.col(f"rest.`{c}`").alias(c) for c in docs.columns if c not in (text_col, "kept_text", "n_words", "n_removed", "spans")]
     return out.select(*rest, F.col("kept").cast("string").alias("kept_text"), F.col("n").alias("n_words"), "n_removed", "spans")
 
 

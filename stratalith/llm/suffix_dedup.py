@@ -16,7 +16,8 @@ Strings are compared byte by byte there. Anchors with one context need no closer
 
 Defined results: a null text is empty; a text of fewer than 100 bytes loses none; rows with one doc_id and
 different texts are different documents, in order of a hash of the text; rows alike in both are one document,
-given back as often as it came; a null doc_id comes first; an empty table gives an empty table.
+given back as often as it came; a null doc_id comes first; an empty table gives an empty table. Ids are integers, others
+raise a TypeError; a text of more than 2^28 bytes raises a ValueError. Input columns named as an output column are replaced.
 """
 
 from __future__ import annotations
@@ -63,10 +64,16 @@ def expand_intervals(runs: Runs, anchor: np.ndarray, context: np.ndarray, sides:
 def remove_repeated_bytes(docs: DataFrame, *, length: int = RUNS.length, gram: int = RUNS.gram, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Columns of ``docs`` but the text, with ``kept`` (bytes), n_bytes, n_removed and spans ([start, end) in bytes)."""
     out = cut_repeats(docs, Runs(length, gram, "byte", True), expand_intervals, id_col=id_col, text_col=text_col)
-    rest = [F.col(f"rest.`{c}`").alias(c) for c in docs.columns if c != text_col]
+    rest = [F.col(f"rest.`{c}`").alias(c) for c in docs.columns if c not in (text_col, "kept", "n_bytes", "n_removed", "spans")]
     return out.select(*rest, "kept", F.col("n").alias("n_bytes"), "n_removed", "spans")
 
 
+def cut_repeated_text(docs: DataFrame, *, length: int = RUNS.length, gram: int = RUNS.gram, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with later occurrences of ``length`` bytes cut from the text; a character that loses a byte goes whole, no other does. A null text becomes an empty one; columns may have any names."""
+    out = cut_repeats(docs, Runs(length, gram, "byte", True), expand_intervals, id_col=id_col, text_col=text_col, characters=True)
+    return out.select(*(F.col("kept").cast("string").alias(c) if c == text_col else F.col(f"rest.`{c}`").alias(c) for c in docs.columns))
+
+
 def op6_remove_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeated_bytes(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))

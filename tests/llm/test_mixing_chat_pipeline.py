@@ -88,3 +88,49 @@ def test_pipeline_near_duplicates_and_passages_by_brute_force(spark, small, hard
     want = brute_bytes([(r.doc_id, r.text) for r in kept.collect()])
     for r in cp.repeated_passages(spark, kept, small).collect():
         assert r.text == want[r.doc_id][3].decode(errors="ignore")
+
+
+NAMES = {"row": "a", "kept": "b", "n_removed": "c", "_rid": "d", "_u": "e", "_source": "f", "stratum": "g", "whole": "h", "rid": "i", "node": "j", "_id": "k", "spans": "l", "_of": "m", "pos": "n", "rest": "o"}
+
+
+def test_stages_keep_columns_of_any_name(spark, small):
+    """No stage overwrites, loses or confuses an input column."""
+    import corpus_pipeline as cp
+
+    docs = spark.createDataFrame([(i, f"some words of text number {i} " * 6, "en", f"s{i % 3}", 1) for i in range(12)], "doc_id long, text string, lang string, source string, n_chars long")
+    for k, v in NAMES.items():
+        docs = docs.withColumn(k, F.lit(v))
+    for name, stage in cp.STAGES:
+        out = stage(spark, docs, small)
+        assert out.columns[: len(docs.columns)] == docs.columns, name
+        rows = out.collect()
+        assert rows and all(r[k] == v for r in rows for k, v in NAMES.items()), name
+
+
+def test_stages_on_odd_rows(spark, small):
+    """Nulls in any column, empty and long texts, repeated rows, and an empty table."""
+    import corpus_pipeline as cp
+
+    rows = [(None, None, None, None, None), (1, "", None, "a", 0), (2, "x y z " * 50_000, "en", None, 1), (3, "one two three", "en", "a", 1), (3, "one two three", "en", "a", 1), (4, None, "en", "b", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in cp.STAGES:
+        assert stage(spark, docs.limit(0), small).count() == 0, name
+        got = stage(spark, docs, small)
+        assert got.columns[:5] == docs.columns and got.count() > 0, name
+
+
+def test_cut_text_keeps_other_characters(spark):
+    """Only characters that lose a byte go; a replacement character of the input stays."""
+    from stratalith.llm.suffix_dedup import cut_repeated_text
+
+    passage = "".join(chr(256 + i) for i in range(60))
+    docs = spark.createDataFrame([(1, f"a\ufffd{passage}b"), (2, f"\ufffdc{passage}d\ufffd")], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in cut_repeated_text(docs).collect()}
+    assert got == {1: f"a\ufffd{passage}b", 2: "\ufffdcd\ufffd"}
+
+
+def test_ids_that_are_not_integers_are_refused(spark):
+    from stratalith.llm.suffix_dedup import remove_repeated_bytes
+
+    with pytest.raises(TypeError):
+        remove_repeated_bytes(spark.createDataFrame([("a", "b")], "doc_id string, text string"))

@@ -7,6 +7,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,8 +67,8 @@ def test_exact_bounds():
 def test_cutoffs_stop_at_the_first_unproven_one():
     rows = [{"stratum": s, "n": n} | {f"{r}_{i}": 0 for r, (_, _, g) in qr.RULES.items() for i in range(len(g))} for s, n in (("en", 5000), ("xx", 20))]
     rows[0]["symbols_3"] = 400
-    got = qr.choose_cutoffs(rows, 0.05, 0.05)
-    assert got["en"]["symbols"] == qr.RULES["symbols"][2][2] and "xx" not in got
+    got = {r["stratum"]: qr.choose_cutoffs(r, len(rows), 0.05, 0.05) for r in rows}
+    assert got["en"]["symbols"] == qr.RULES["symbols"][2][2] and got["xx"] == {}
 
 
 def test_false_rejection_is_limited(spark):
@@ -76,7 +77,7 @@ def test_false_rejection_is_limited(spark):
     for _ in range(300):
         row = {"stratum": "s", "n": 1000} | {f"{r}_{i}": 1000 for r, (_, _, g) in qr.RULES.items() for i in range(len(g))}
         row["symbols_0"] = int(rng.binomial(1000, 0.011))
-        bad += bool(qr.choose_cutoffs([row], 0.05, 0.05))
+        bad += bool(qr.choose_cutoffs(row, 1, 0.05, 0.05))
     assert bad <= 300 * 0.05
 
 
@@ -137,11 +138,28 @@ def toxic_corpus(spark):
 def test_toxicity_catches_misspelled_terms_and_weighs_quotes(spark):
     docs, marks = toxic_corpus(spark)
     model = tox.learn_toxicity(docs, marks)
-    new = ["w1q w2q you grublim and snorkkest " + "w3q " * 20, "w1q w2q plain words " + "w3q " * 20, 'w1q he said "you grublin" w2q ' + "w3q " * 20, ""]
-    x = model.features(__import__("pyarrow").array(new))
+    new = ["w1q w2q you grublim and snorkkest " + "w3q " * 20, "w1q w2q plain words " + "w3q " * 20, 'w1q he said "you grublin" w2q ' + "w3q " * 20, "", "w1q he you grublin w2q " + "w3q " * 20]
+    quoted = [f"w1q {a}you grublin there{b} w2q " + "w3q " * 20 for a, b in ('""', "''", "“”", "„“", "«»", "‘’", "‹›")]
+    not_quoted = ["w1q don't you grublin, it's w2q " + "w3q " * 20, 'w1q "w2q" you grublin "w4q" ' + "w3q " * 20]
+    x = model.features(pa.array(new + quoted + not_quoted))
     s = model.scores(x)
+    at = {n: i for i, n in enumerate(tox.FEATURES)}
     assert s[0] > 0.5 > s[1] and s[3] < 0.5
-    assert x[2][4] > 0 and x[2][5] > 0 and x[0][4] == 0
+    assert x[2][at["quoted"]] == 1 and x[2][at["reported"]] == 1 and x[0][at["quoted"]] == 0
+    # One term counts as abuse alone, and doesn't in a reported quotation.
+    assert s[2] < 0.5 < s[4]
+    k = len(new)
+    assert (x[k : k + len(quoted), at["quoted"]] == 1).all() and (s[k : k + len(quoted)] < s[4]).all()
+    assert (x[k + len(quoted) :, at["quoted"]] == 0).all()
+    assert (model.weights[:-1] >= 0).all() and model.weights[:-1].max() > 0
+
+
+def test_terms_with_common_neighbours_match_exactly():
+    assert tox.one_edit(b"idiot", b"idoit") is False and tox.one_edit(b"idiot", b"idiots") and tox.one_edit(b"idiot", b"idit") and tox.one_edit(b"idiot", b"idxot") and tox.one_edit(b"ab", b"ab")
+    both = tox.Automaton([("loser", False), ("idiot", False)], frozenset({("loser", False)}))
+    words = [b"loser", b"closer", b"idiot", b"idiott"]
+    edge = np.cumsum([0] + [len(w) for w in words])
+    assert both.match(np.frombuffer(b"".join(words), np.uint8), edge[:-1], edge[1:]).tolist() == [tox.WORD, tox.NONE, tox.WORD, tox.NEAR]
 
 
 def test_toxicity_on_odd_tables(spark, hard, none):
@@ -153,9 +171,23 @@ def test_toxicity_on_odd_tables(spark, hard, none):
 
 
 def test_toxicity_held_out(spark):
-    out = QUERIES["op5_toxicity"](spark, SF).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").filter("held_out")
-    right = out.filter("predicted = toxic").count()
-    assert right >= 0.93 * out.count()
+    """Labels have noise: some documents marked toxic hold nothing of the kind."""
+    larger = "/root/testdata/sf0.1"
+    out = QUERIES["op5_toxicity"](spark, larger).join(spark.read.parquet(f"{larger}/labels.parquet"), "doc_id").filter("held_out").persist()
+    found, marked, both = (out.filter(c).count() for c in ("predicted = 1", "toxic = 1", "predicted = 1 AND toxic = 1"))
+    assert both >= 0.95 * found and both >= 0.88 * marked
+
+
+def test_repeated_ids_and_long_texts_in_fits(spark):
+    """Rows that repeat an id don't grow what is learned from; very long texts and null ids are scored."""
+    docs, marks = toxic_corpus(spark)
+    long = spark.createDataFrame([(None, "grublin " * 100_000), (1, "w1q " * 300_000), (1, "other text")], "doc_id long, text string")
+    out = tox.score_toxicity(docs.unionByName(long), marks).collect()
+    assert len(out) == 603 and all(0 <= r.score <= 1 for r in out)
+    assert [r.score > 0.5 for r in out if r.doc_id is None] == [True]
+    repeated = docs.unionByName(docs).withColumn("lang", F.lit("en"))
+    assert qg.score_quality(repeated, marks).count() == 1200
+    assert li.identify(repeated).filter("lang_pred = 'en'").count() == 1200
 
 
 def test_quality_held_out(spark):

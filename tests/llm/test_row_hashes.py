@@ -22,7 +22,7 @@ def test_texts_of_one_id_stay_apart(spark):
     one, two = colliding(spark)
     rows = [(None, one), (None, two), (7, "start " + one), (8, two[::-1] + " " + two)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
-    ties = {r.tie for r in docs.filter("doc_id IS NULL").select(*an.row_id("doc_id", "text")).collect()}
+    ties = {r.tie for r in docs.filter("doc_id IS NULL").select(*an.row_id(docs, "doc_id", "text")).collect()}
     assert len(ties) == 2
     # The null rows come first and stay; of the others goes what repeats either of them.
     out = sx.remove_repeated_bytes(docs).collect()
