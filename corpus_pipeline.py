@@ -10,7 +10,7 @@ from stratalith.llm.common import materialize
 from stratalith.llm.decontaminate import drop_contaminated
 from stratalith.llm.mixing import poisson_mix
 from stratalith.llm.ngram_join import keep_one
-from stratalith.llm.suffix_dedup import remove_repeated_bytes
+from stratalith.llm.suffix_dedup import cut_repeated_text
 from stratalith.llm.toxicity import drop_toxic
 
 
@@ -25,10 +25,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later occurrences of strings of 100 bytes are cut; bytes of a character cut in two go with it. Documents stay, empty ones too."""
-    out = remove_repeated_bytes(docs)
-    text = F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("�"), F.lit(""))
-    return out.withColumn("text", F.when(F.col("n_removed") > 0, text).otherwise(F.col("kept").cast("string"))).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    """Later occurrences of strings of 100 bytes are cut; a character that loses a byte goes whole. Documents stay, empty ones too."""
+    return cut_repeated_text(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
