@@ -98,7 +98,7 @@ def text_counts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     schema = rows.drop("text").schema
     for c in COUNTS:
         schema = schema.add(c, "long")
-    return rows.mapInArrow(step, schema)
+    return rows.mapInArrow(tk.lean(step), schema)
 
 
 def held_out(id_col: str = "doc_id"):

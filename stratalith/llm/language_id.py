@@ -159,7 +159,7 @@ def identify(docs: DataFrame, *, sample: int = SAMPLE, id_col: str = "doc_id", t
             if names:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names), pa.array(np.concatenate(scores))], names=["doc_id", "lang_pred", "score"])
 
-    out = rows.mapInArrow(step, rows.select("doc_id").schema.add("lang_pred", "string").add("score", "double"))
+    out = rows.mapInArrow(tk.lean(step), rows.select("doc_id").schema.add("lang_pred", "string").add("score", "double"))
     return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", ((F.col("score") >= model.least) & (F.col("lang_pred") != "und")).alias("accepted"))
 
 

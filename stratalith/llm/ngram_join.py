@@ -212,7 +212,7 @@ def present(step):
     def run(batches):
         return (x for x in step(batches) if x is not None)
 
-    return run
+    return tk.lean(run)
 
 
 def add_counts(many: int):
@@ -431,7 +431,7 @@ def check(pairs: DataFrame, member: DataFrame, read_sets) -> DataFrame:
     few = materialize(ends(pairs), "ends")
     sets = read_sets(few)
     left, right = (only(few, sets).select(F.col("node").alias(x), F.col("tokens").alias(f"tokens_{x}")) for x in "ab")
-    found = materialize(pairs.join(right, "b").join(left, "a").mapInArrow(check_pairs, "a long, b long"), "found")
+    found = materialize(pairs.join(right, "b").join(left, "a").mapInArrow(tk.lean(check_pairs), "a long, b long"), "found")
     discard(asked, pairs, few, sets)
     return found
 
@@ -507,7 +507,7 @@ def link(met: DataFrame, member: DataFrame, read_sets) -> DataFrame:
 
 def cell_levels(table: DataFrame) -> np.ndarray:
     """One byte for each cell: a table of fixed size, which is broadcast."""
-    parts = an.meet(table.filter("bucket IS NOT NULL").select("bucket", "counts"), CELL_PARTS).mapInArrow(add_cells, "bucket int, levels binary").collect()
+    parts = an.meet(table.filter("bucket IS NOT NULL").select("bucket", "counts"), CELL_PARTS).mapInArrow(tk.lean(add_cells), "bucket int, levels binary").collect()
     level = np.zeros((CELL_PARTS, (1 << CELL_BITS) // CELL_PARTS), np.uint8)
     for r in parts:
         level[r["bucket"]] = np.frombuffer(r["levels"], np.uint8)
@@ -526,7 +526,7 @@ def found_components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(row_key(id_col, text_col).alias("rid"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     total = text_bytes(docs, text_col)
     schema = T.StructType().add("rid", "long").add("doc_id", rows.schema["doc_id"].dataType).add("n", "long").add("node", "long").add("sketch", T.ArrayType(T.LongType())).add("bucket", "integer").add("counts", "binary")
-    table = materialize(rows.mapInArrow(sets_and_cells, schema), "sets")
+    table = materialize(rows.mapInArrow(tk.lean(sets_and_cells), schema), "sets")
     member = table.filter("bucket IS NULL").select("rid", "doc_id", "n", "node", "sketch")
     levels = cell_levels(table)
     mean = (member.agg(F.sum("n")).first()[0] or 0) / (1 << CELL_BITS)
@@ -551,7 +551,7 @@ def found_components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         for r in bits:
             packed[(r["part"] - 1) * 4096 : r["part"] * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
         wanted = spark.sparkContext.broadcast(Bits(packed))
-        return materialize(rows.select("rid", "text").mapInArrow(emit_sets(wanted), "node long, tokens binary"), "token-sets")
+        return materialize(rows.select("rid", "text").mapInArrow(tk.lean(emit_sets(wanted)), "node long, tokens binary"), "token-sets")
 
     roots = link(met, member, read_sets)
     discard(met)

@@ -108,7 +108,7 @@ def find_anchors(runs: Runs, buckets: int) -> Callable:
                 if out is not None:
                     yield out
 
-    return step
+    return tk.lean(step)
 
 
 def compare_anchors(runs: Runs, doc_buckets: int) -> Callable:
@@ -162,7 +162,7 @@ def by_bucket(one: Callable) -> Callable:
         if held:
             yield from whole()
 
-    return step
+    return tk.lean(step)
 
 
 def by_document(one: Callable, schema: pa.Schema) -> Callable:
@@ -186,7 +186,7 @@ def by_document(one: Callable, schema: pa.Schema) -> Callable:
                     if out is not None and out.num_rows:
                         yield out
 
-    return step
+    return tk.lean(step)
 
 
 def index(parts: list[pa.RecordBatch]) -> dict[tuple[int, int], dict[str, np.ndarray]]:

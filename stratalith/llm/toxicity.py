@@ -25,7 +25,6 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -53,32 +52,36 @@ _MARK = re.compile("|".join(WIDE_MARKS).encode())
 
 
 def terms_of(batches):
-    """Documents by term, label and the word before it, added up within a partition. A term is a word, or a stem of a word; its first place in a text counts."""
-    counts: Counter = Counter()
+    """Documents by term and label, added up within a partition, and the words before the term as bits of a hash. A term is a word, or a stem of one; its first place in a text counts."""
+    counts: dict[tuple[bytes, bool, int], list[int]] = {}
     for batch in batches:
         for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
             seen: dict[tuple[bytes, bool], int] = {}
             before = b""
             for w in _WORD.findall(_MARK.sub(b" ", (text or "").encode()).translate(tk.LOWER.tobytes())):
                 if 4 <= len(w) <= 24 and (w, False) not in seen:
-                    context = zlib.crc32(before)
-                    seen[w, False] = context
+                    bit = 1 << zlib.crc32(before) % 63
+                    seen[w, False] = bit
                     s = w.decode()
                     for n in (4, 5, 6):
                         if len(s) > n:
-                            seen.setdefault((s[:n].encode(), True), context)
+                            seen.setdefault((s[:n].encode(), True), bit)
                 before = w
-            counts.update((w, stem, label, context) for (w, stem), context in seen.items())
-        if len(counts) > 2_000_000:
+            for (w, stem), bit in seen.items():
+                own = counts.setdefault((w, stem, label), [0, 0])
+                own[0] += 1
+                own[1] |= bit
+        if len(counts) > 400_000:
             yield from flushed(counts)
     yield from flushed(counts)
 
 
-def flushed(counts: Counter):
+def flushed(counts: dict):
     if counts:
-        w, stem, label, context = zip(*counts, strict=True)
-        columns = [pa.array([x.decode() for x in w]), pa.array(stem), pa.array(label, pa.int32()), pa.array(context, pa.int64()), pa.array(list(counts.values()), pa.int64())]
-        yield pa.RecordBatch.from_arrays(columns, names=["term", "stem", "label", "context", "n"])
+        w, stem, label = zip(*counts, strict=True)
+        n, bits = zip(*counts.values(), strict=True)
+        columns = [pa.array([x.decode() for x in w]), pa.array(stem), pa.array(label, pa.int32()), pa.array(n, pa.int64()), pa.array(bits, pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["term", "stem", "label", "n", "bits"])
         counts.clear()
 
 
@@ -300,7 +303,7 @@ def exact_only(sums: DataFrame, terms: list[tuple[str, bool]]) -> frozenset[tupl
             kind = automaton.match(np.frombuffer(b"".join(words), np.uint8), edge[:-1], edge[1:]) if words else np.zeros(0, np.int8)
             yield batch.filter(pa.array((kind == NEAR) | (kind == NEAR_STEM)))
 
-    rows = sums.filter("NOT stem").select("term", "toxic", "other").mapInArrow(step, "term string, toxic long, other long").collect()
+    rows = sums.filter("NOT stem").select("term", "toxic", "other").mapInArrow(tk.lean(step), "term string, toxic long, other long").collect()
     seen = {t: [0, 0] for t in terms}
     for r in rows:
         word = r["term"].encode()
@@ -314,16 +317,19 @@ def exact_only(sums: DataFrame, terms: list[tuple[str, bool]]) -> frozenset[tupl
 
 def learn_lexicon(docs: DataFrame, sample: DataFrame, most: int) -> tuple[list[tuple[str, bool]], frozenset[tuple[str, bool]]]:
     """Terms, and which of them only match exactly. docs: doc_id, text; sample: doc_id, label, small."""
-    counts = docs.join(F.broadcast(sample), "doc_id").select("text", "label").mapInArrow(terms_of, "term string, stem boolean, label int, context long, n long")
-    by_context = counts.groupBy("term", "stem", "context").agg(F.max("label").alias("toxic"), F.sum(F.when(F.col("label") == 1, 0).otherwise(F.col("n"))).alias("other"))
-    sums = by_context.groupBy("term", "stem").agg(F.sum("toxic").cast("long").alias("toxic"), F.sum("other").alias("other"))
+    counts = docs.join(F.broadcast(sample), "doc_id").select("text", "label").mapInArrow(tk.lean(terms_of), "term string, stem boolean, label int, n long, bits long")
+    toxic = F.col("label") == 1
+    sums = counts.groupBy("term", "stem").agg(
+        F.sum(F.when(toxic, F.col("n")).otherwise(0)).alias("toxic"), F.sum(F.when(toxic, 0).otherwise(F.col("n"))).alias("other"), F.bit_or(F.when(toxic, F.col("bits")).otherwise(0)).alias("bits")
+    )
+    sums = sums.select("term", "stem", "toxic", "other", F.bit_count("bits").alias("befores"))
     totals = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not totals.get(1) or not totals.get(0):
         return [], frozenset()
     # How much rarer a term is outside, at equal numbers of documents on both sides.
     scale = totals[1] / totals[0]
     sums = materialize(sums, "term-sums")
-    best = sums.filter((F.col("toxic") >= LEAST_DOCS) & (F.col("toxic") >= PRECISION * (F.col("toxic") + scale * F.col("other"))))
+    best = sums.filter((F.col("toxic") >= LEAST_DOCS) & (F.col("befores") >= LEAST_DOCS - 1) & (F.col("toxic") >= PRECISION * (F.col("toxic") + scale * F.col("other"))))
     rows = best.orderBy(F.desc("toxic"), "term", "stem").limit(20 * most).collect()
     chance = totals[1] / (totals[1] + totals[0])
     rows = [(r["term"], r["stem"], r["toxic"], r["other"]) for r in rows if r["toxic"] * math.log(1 / chance) > 12 + 3 * r["other"]]
@@ -366,7 +372,7 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE,
             x = model.features(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("label"), *(pa.array(c) for c in x.T)], names=["label", *FEATURES])
 
-    fit = rows.select("label", "text").mapInArrow(step, ", ".join(["label int", *(f"{n} double" for n in FEATURES)])).toPandas()
+    fit = rows.select("label", "text").mapInArrow(tk.lean(step), ", ".join(["label int", *(f"{n} double" for n in FEATURES)])).toPandas()
     fit = fit.sort_values(["label", *FEATURES], ignore_index=True)
     if fit["label"].nunique() == 2:
         model.weights = fit_positive(fit[list(FEATURES[:FITTED])].to_numpy(float), fit["label"].to_numpy(float))
@@ -386,7 +392,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
     schema = T.StructType().add("doc_id", rows.schema["doc_id"].dataType).add("score", "double")
     for name in FEATURES:
         schema = schema.add(name, "double")
-    return rows.mapInArrow(step, schema).select("doc_id", held_out().alias("held_out"), "score", *FEATURES)
+    return rows.mapInArrow(tk.lean(step), schema).select("doc_id", held_out().alias("held_out"), "score", *FEATURES)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, *, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
@@ -397,7 +403,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, *, least: float = 0.5, id_col
         for batch in batches:
             yield batch.filter(pa.array(model.scores(model.features(batch.column(text_col))) < least))
 
-    return docs.mapInArrow(step, T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema]))
+    return docs.mapInArrow(tk.lean(step), T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema]))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
