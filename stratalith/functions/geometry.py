@@ -44,6 +44,11 @@ def matvec(m: tuple[Vec, Vec, Vec], v: Vec) -> Vec:
     return tuple(dot(row, v) for row in m)
 
 
+def matmul(a, b) -> tuple[Vec, Vec, Vec]:
+    columns = list(zip(*b, strict=True))
+    return tuple(tuple(dot(row, col) for col in columns) for row in a)
+
+
 def determinant(m) -> Column:
     return dot(m[0], cross(m[1], m[2]))
 
@@ -184,12 +189,20 @@ def rotation_angle(m) -> Column:
 
 
 def rotation_vector(m) -> Vec:
-    """Axis times angle; a degenerate matrix gives pi about the diagonal."""
-    t = rotation_angle(m)
+    """Axis times angle: zero for the identity; a half turn's axis comes from the symmetric part, its first component that isn't zero positive."""
     raw = (m[2][1] - m[1][2], m[0][2] - m[2][0], m[1][0] - m[0][1])
     n = norm(raw)
-    flat = n < 1e-10
-    return tuple(F.when(flat, math.pi / math.sqrt(3)).otherwise(x / F.when(flat, 1.0).otherwise(n) * t) for x in raw)
+    flat = n < 1e-7
+    t = F.atan2(n / 2, (trace(m) - 1) / 2)
+    # (m + 1) / 2 of a half turn is the axis times itself; the column of its largest diagonal entry gives the axis.
+    half = tuple(tuple((m[i][j] + m[j][i]) / 4 + (0.5 if i == j else 0.0) for j in range(3)) for i in range(3))
+    first = (half[0][0] >= half[1][1]) & (half[0][0] >= half[2][2])
+    pick = [F.when(first, half[i][0]).when(half[1][1] >= half[2][2], half[i][1]).otherwise(half[i][2]) for i in range(3)]
+    length = norm(tuple(pick))
+    lead = F.when(F.abs(pick[0]) > 1e-7, pick[0]).when(F.abs(pick[1]) > 1e-7, pick[1]).otherwise(pick[2])
+    sign = F.when(lead < 0, -math.pi).otherwise(math.pi)
+    turn = [F.when(length > 0, p / F.when(length > 0, length).otherwise(1.0) * sign).otherwise(0.0) for p in pick]
+    return tuple(F.when(~flat, x / F.when(flat, 1.0).otherwise(n) * t).when(trace(m) > 1, 0.0).otherwise(h) for x, h in zip(raw, turn, strict=True))
 
 
 def canonical_rotvec(v: Vec) -> Vec:

@@ -35,10 +35,27 @@ ELECTRONEGATIVITY = [
 # Last space group of each crystal system.
 SYSTEMS = [(2, "triclinic"), (15, "monoclinic"), (74, "orthorhombic"), (142, "tetragonal"), (167, "trigonal"), (194, "hexagonal"), (230, "cubic")]
 
-# Asymmetric unit box (fractions of the cell) of common space groups; others are the whole cell.
+# Asymmetric unit box (fractions of the cell) by space group. Groups without a stated box count as the whole cell.
 ASYM_UNITS = {
-    1: (1, 1, 1), 2: (0.5, 1, 1), 4: (1, 1, 0.5), 5: (0.5, 0.5, 1), 7: (1, 0.5, 1), 9: (1, 0.25, 1), 13: (0.5, 1, 0.5),
-    14: (1, 0.25, 1), 15: (0.5, 0.5, 0.5), 18: (0.5, 0.5, 1), 19: (0.5, 0.5, 1), 29: (0.25, 1, 1), 33: (0.5, 0.5, 1),
+    1: (1, 1, 1), 2: (0.5, 1, 1), 3: (1, 1, 0.5), 4: (1, 1, 0.5), 5: (0.5, 0.5, 1), 6: (1, 0.5, 1), 7: (1, 0.5, 1), 8: (1, 0.25, 1),
+    9: (1, 0.25, 1), 10: (0.5, 0.5, 1), 11: (1, 0.25, 1), 12: (0.5, 0.25, 1), 13: (0.5, 1, 0.5), 14: (1, 0.25, 1), 15: (0.5, 0.5, 0.5),
+    16: (0.5, 0.5, 1), 17: (0.5, 0.5, 1), 18: (0.5, 0.5, 1), 19: (0.5, 0.5, 1), 20: (0.5, 0.5, 0.5), 21: (0.25, 0.5, 1), 22: (0.25, 0.25, 1),
+    23: (0.5, 0.5, 0.5), 24: (0.5, 0.5, 0.5), 25: (0.5, 0.5, 1), 26: (0.5, 0.5, 1), 27: (0.5, 0.5, 1), 28: (0.25, 1, 1), 29: (0.25, 1, 1),
+    30: (0.5, 1, 0.5), 31: (0.5, 0.5, 1), 32: (0.5, 0.5, 1), 33: (0.5, 0.5, 1), 34: (0.5, 0.5, 1), 35: (0.25, 0.5, 1), 36: (0.5, 0.5, 0.5),
+    37: (0.25, 0.5, 1), 38: (0.5, 0.5, 0.5), 39: (0.5, 0.25, 1), 40: (0.25, 0.5, 1), 41: (0.5, 0.5, 0.5), 42: (0.25, 0.25, 1), 43: (0.25, 0.25, 1),
+    44: (0.5, 0.5, 0.5), 45: (0.5, 0.5, 0.5), 46: (0.25, 1, 0.5), 47: (0.5, 0.5, 0.5), 48: (0.25, 0.5, 1), 49: (0.5, 0.5, 0.5), 50: (0.5, 0.5, 0.5),
+    51: (0.25, 0.5, 1), 52: (1, 0.25, 0.5), 53: (0.5, 1, 0.25), 54: (0.5, 0.5, 0.5), 55: (0.5, 0.5, 0.5), 56: (0.25, 1, 0.5), 57: (0.5, 1, 0.25),
+    58: (0.5, 0.5, 0.5), 59: (0.5, 0.5, 0.5), 60: (0.5, 0.5, 0.5), 61: (0.5, 0.5, 0.5), 62: (0.5, 0.25, 1), 63: (0.5, 0.5, 0.25), 64: (0.25, 0.5, 0.5),
+    65: (0.25, 0.5, 0.5), 66: (0.25, 0.5, 0.5), 67: (0.5, 0.25, 0.5), 68: (0.25, 0.5, 0.5), 69: (0.25, 0.25, 0.5), 70: (0.125, 0.25, 1),
+    71: (0.25, 0.5, 0.5), 72: (0.25, 0.5, 0.5), 73: (0.25, 0.5, 0.5), 74: (0.25, 0.25, 1), 75: (0.5, 0.5, 1), 76: (0.5, 0.5, 1), 77: (0.5, 0.5, 1),
+    78: (0.5, 0.5, 1), 79: (0.5, 0.5, 0.5), 80: (0.5, 1, 0.25), 81: (0.5, 0.5, 1), 82: (0.5, 0.5, 0.5), 83: (0.5, 0.5, 0.5), 84: (0.5, 0.5, 0.5),
+    85: (0.5, 0.5, 0.5), 86: (0.5, 1, 0.25), 87: (0.5, 0.5, 0.25), 88: (0.25, 0.25, 1), 89: (0.5, 0.5, 0.5), 90: (0.5, 0.5, 0.5), 91: (1, 1, 0.125),
+    92: (1, 1, 0.125), 93: (0.5, 1, 0.25), 94: (0.5, 0.5, 0.5), 95: (1, 1, 0.125), 96: (1, 1, 0.125), 97: (0.5, 0.5, 0.25), 98: (0.5, 1, 0.125),
+    103: (0.5, 0.5, 0.5), 104: (0.5, 0.5, 0.5), 105: (0.5, 0.5, 0.5), 106: (0.5, 0.5, 0.5), 109: (0.5, 0.5, 0.25), 110: (0.5, 0.5, 0.25),
+    112: (0.5, 0.5, 0.5), 114: (0.5, 0.5, 0.5), 115: (0.5, 0.5, 0.5), 116: (0.5, 1, 0.25), 117: (0.5, 0.5, 0.5), 118: (0.5, 1, 0.25),
+    119: (0.5, 0.5, 0.25), 120: (0.5, 0.5, 0.25), 122: (0.5, 1, 0.125), 124: (0.5, 0.5, 0.25), 126: (0.5, 0.5, 0.25), 128: (0.5, 0.5, 0.25),
+    130: (0.5, 0.5, 0.25), 131: (0.5, 0.5, 0.25), 133: (0.5, 0.5, 0.25), 135: (0.5, 0.5, 0.25), 137: (0.5, 0.5, 0.25), 141: (0.5, 0.5, 0.125),
+    142: (0.5, 0.5, 0.125),
 }
 
 

@@ -135,9 +135,21 @@ def fold_to_least(candidates: DataFrame, key: str, columns: tuple[str, ...] = ("
 
 
 def coset_images(crystals: DataFrame, operators: DataFrame, key: str = "sg_ind") -> DataFrame:
-    """Centroids under each operator of a normaliser's cosets, the identity included, with ``valid``: proper, or the molecule isn't chiral."""
+    """Centroids and orientations under each operator of a normaliser's cosets, the identity included, with ``valid``: proper, or the molecule isn't chiral.
+
+    Where crystals have a cell (f2c, c2f) and a rotation vector (ox, oy, oz), the operator turns it too: its part in the laboratory frame, made
+    proper, times the rotation. An improper operator changes the sign of ``hand``.
+    """
     met = symmetry_images(crystals, operators, key)
     m = tuple(tuple(F.col(f"r{i}{j}") for j in (1, 2, 3)) for i in (1, 2, 3))
+    if {"ox", "oy", "oz", "f2c_00", "c2f_00"} <= set(crystals.columns):
+        lab = g.matmul(matrix("f2c"), g.matmul(m, matrix("c2f")))
+        sign = F.when(g.determinant(m) < 0, -1.0).otherwise(1.0)
+        proper = tuple(tuple(sign * x for x in row) for row in lab)
+        turned = g.rotation_vector(g.matmul(proper, g.rotation_matrix(g.vec("ox", "oy", "oz"))))
+        met = met.withColumns({f"o{x}": v for x, v in zip("xyz", turned, strict=True)})
+        if "hand" in crystals.columns:
+            met = met.withColumn("hand", F.col("hand") * sign.cast("int"))
     chiral = F.col("chiral") if "chiral" in crystals.columns else F.lit(True)
     return met.withColumn("valid", (g.determinant(m) > 0) | ~chiral)
 

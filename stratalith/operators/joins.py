@@ -121,11 +121,13 @@ def periodic_neighbours(atoms: DataFrame, cells: DataFrame, cutoff: float, *, gr
     return out.filter((F.col("i") != F.col("j")) | (F.col("sx") != 0) | (F.col("sy") != 0) | (F.col("sz") != 0))
 
 
-def angle_paths(bonds: DataFrame, group: str | None = None) -> DataFrame:
-    """(i, centre, k) with i < k for bonds (src, dst) listed both ways."""
+def angle_paths(bonds: DataFrame, group: str | None = None, centres=None) -> DataFrame:
+    """(i, centre, k) with i < k for bonds (src, dst) listed both ways. centres: a condition on ``centre``."""
     keys = [group] if group else []
     a = bonds.select(*keys, F.col("src").alias("i"), F.col("dst").alias("centre"))
     b = bonds.select(*keys, F.col("src").alias("centre"), F.col("dst").alias("k"))
+    if centres is not None:
+        a, b = a.filter(centres), b.filter(centres)
     return a.join(b, [*keys, "centre"]).filter("i < k").select(*keys, "i", "centre", "k")
 
 
@@ -145,8 +147,9 @@ def checked_lookup(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFr
     return met.withColumn("_ok", ok).filter(F.col("_ok").isNull()).drop("_ok", "_known")
 
 
-def infer_bonds(atoms: DataFrame, *, group: str = "graph", point: str = "point", tolerance: float = 1.2, largest: float = 3.0) -> DataFrame:
-    """Pairs i < j nearer than tolerance * (ri + rj); atoms: (group, point, x, y, z, r). largest: bound of a sum of radii."""
+def infer_bonds(atoms: DataFrame, *, group: str = "graph", point: str = "point", tolerance: float = 1.2) -> DataFrame:
+    """Pairs i < j nearer than tolerance * (ri + rj); atoms: (group, point, x, y, z, r). Atoms are met within the reach of the two largest radii."""
+    largest = 2 * (atoms.agg(F.max("r")).first()[0] or 0.0) + 1e-9
     e = radius_join(atoms, atoms, tolerance * largest, group=group, point=point).filter("i < j")
     for s in "ij":
         e = e.join(atoms.select(group, F.col(point).alias(s), F.col("r").alias(f"r{s}")), [group, s])
@@ -185,13 +188,20 @@ def exact_matches(rows: DataFrame, targets: DataFrame, key: str, value: str) ->
     return rows.join(last, key)
 
 
-def lattice_translations(structures: DataFrame, cutoff: float, key: str, most: int = 8) -> DataFrame:
-    """(key, n0, n1, n2): translations whose cell centres lie within 2 radius + cutoff + 0.1 + half the diagonal; always the zero one. Rows have box vectors ax..cz and ``radius``."""
+def lattice_translations(structures: DataFrame, cutoff: float, key: str, most: int = 1_000_000) -> DataFrame:
+    """(key, n0, n1, n2): translations whose cell centres lie within 2 radius + cutoff + 0.1 + half the diagonal; always the zero one. Rows have box vectors ax..cz and ``radius``.
+
+    Each axis gets the shifts that the reach and the spacing of its planes need; a cell that needs more than ``most`` raises.
+    """
     v = [g.vec(f"{r}x", f"{r}y", f"{r}z") for r in "abc"]
-    grid = structures
+    reach = 2 * F.col("radius") + cutoff + 0.1 + g.norm(g.add(g.add(v[0], v[1]), v[2])) / 2
+    volume = F.abs(g.dot(v[0], g.cross(v[1], v[2])))
+    need = [F.floor(reach * g.norm(g.cross(v[(k + 1) % 3], v[(k + 2) % 3])) / volume + 1e-9) for k in range(3)]
+    grid = structures.withColumns({f"_s{k}": need[k].cast("int") for k in range(3)})
+    ok = F.assert_true((2 * F.col("_s0") + 1.0) * (2 * F.col("_s1") + 1.0) * (2 * F.col("_s2") + 1.0) <= most, F.lit(f"a cell needs more than {most} translations"))
+    grid = grid.withColumn("_ok", ok).filter(F.col("_ok").isNull())
     for k in range(3):
-        grid = grid.withColumn(f"n{k}", F.explode(F.sequence(F.lit(-most), F.lit(most))))
+        grid = grid.withColumn(f"n{k}", F.explode(F.sequence(-F.col(f"_s{k}"), F.col(f"_s{k}"))))
     at = g.add(g.add(g.scale(v[0], F.col("n0")), g.scale(v[1], F.col("n1"))), g.scale(v[2], F.col("n2")))
-    reach = 2 * F.col("radius") + cutoff + 0.1 + g.norm(g.add(g.add(v[0], v[1]), v[2])) / 2
     zero = (F.col("n0") == 0) & (F.col("n1") == 0) & (F.col("n2") == 0)
     return grid.filter(zero | (g.norm(at) < reach)).select(key, "n0", "n1", "n2")

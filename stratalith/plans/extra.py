@@ -101,21 +101,12 @@ def molecule_ellipsoids(spark, sf):
 
 
 @query("""
-WITH s AS (SELECT p_partkey AS pair, 1.0 + (p_size % 3) AS r1, 1.0::DOUBLE AS r2, (p_partkey % 50) / 10.0 AS dx FROM part WHERE p_partkey <= 300)
+WITH s AS (SELECT p_partkey AS pair, 1.0 + (p_size % 3) AS r1, 1.0::DOUBLE AS r2, (p_partkey % 50) / 10.0 AS dx FROM part)
 SELECT pair, CASE WHEN dx > r1 + r2 THEN true ELSE false END AS apart, true AS close FROM s
 """)
 def ellipsoid_overlap(spark, sf):
     """Seeded probes against the closed form of two spheres, within four standard errors."""
-    return overlaps(table(spark, sf, "part").filter("p_partkey <= 300"))
-
-
-@query(ORACLE_SQL["ellipsoid_overlap"].replace(" WHERE p_partkey <= 300", ""))
-def ellipsoid_overlap_all(spark, sf):
-    return overlaps(table(spark, sf, "part"))
-
-
-def overlaps(part):
-    s = part.select(F.col("p_partkey").alias("pair"), (1.0 + F.col("p_size") % 3).alias("s1"), (F.col("p_partkey") % 50 / 10.0).alias("dx"))
+    s = table(spark, sf, "part").select(F.col("p_partkey").alias("pair"), (1.0 + F.col("p_size") % 3).alias("s1"), (F.col("p_partkey") % 50 / 10.0).alias("dx"))
     pairs = s.select("pair", *(F.col("s1").alias(a) for a in ("p1", "q1", "r1")), *(F.lit(1.0).alias(a) for a in ("p2", "q2", "r2")), "dx", F.lit(0.0).alias("dy"), F.lit(0.0).alias("dz"))
     got = el.ellipsoid_overlap(pairs, 400).join(s, "pair")
     whole, exact = g.sphere_volume("s1"), g.lens_volume(F.col("s1"), F.lit(1.0), F.col("dx"))
@@ -124,19 +115,10 @@ def overlaps(part):
     return got.select("pair", (F.col("dx") > F.col("s1") + 1).alias("apart"), (F.abs(F.col("overlap") - exact) <= error).alias("close"))
 
 
-@query("SELECT p_partkey AS mol, true AS close FROM part WHERE p_partkey <= 100")
+@query("SELECT p_partkey AS mol, true AS close FROM part")
 def grid_volume(spark, sf):
     """Grid integration of a sphere against its closed form, within 3 %."""
-    return volumes(table(spark, sf, "part").filter("p_partkey <= 100"))
-
-
-@query(ORACLE_SQL["grid_volume"].replace(" WHERE p_partkey <= 100", ""))
-def grid_volume_all(spark, sf):
-    return volumes(table(spark, sf, "part"))
-
-
-def volumes(part):
-    a = part.select(F.col("p_partkey").alias("mol"), (F.col("p_partkey") / 7).alias("x"), F.lit(0.3).alias("y"), F.lit(-1.7).alias("z"), (1.2 + F.col("p_size") % 5 / 10.0).alias("r"))
+    a = table(spark, sf, "part").select(F.col("p_partkey").alias("mol"), (F.col("p_partkey") / 7).alias("x"), F.lit(0.3).alias("y"), F.lit(-1.7).alias("z"), (1.2 + F.col("p_size") % 5 / 10.0).alias("r"))
     out = el.grid_volume(a, "mol", 0.15).join(a, "mol")
     return out.select("mol", (F.abs(F.col("volume") / g.sphere_volume("r") - 1) < 0.03).alias("close"))
 
@@ -169,7 +151,7 @@ def lattice_translations(spark, sf):
     n = table(spark, sf, "nation")
     box = {"ax": 4.0, "ay": 0.0, "az": 0.0, "bx": 0.5, "by": 5.0, "bz": 0.0, "cx": 0.0, "cy": 0.0}
     n = n.select("n_nationkey", *(F.lit(v).alias(k) for k, v in box.items()), (6.0 + F.col("n_regionkey")).alias("cz"), (0.5 + F.col("n_regionkey") / 4.0).alias("radius"))
-    return jn.lattice_translations(n, 1.0, "n_nationkey", most=3)
+    return jn.lattice_translations(n, 1.0, "n_nationkey")
 
 
 @query("SELECT c_custkey, v FROM customer JOIN (SELECT n_nationkey % 10 AS k, max(n_nationkey) AS v FROM nation GROUP BY 1) ON c_nationkey = k")

@@ -65,11 +65,11 @@ SHIFTED = "sqrt(dx * dx + dy * dy + dz * dz)"
 
 
 @query("""
-WITH e AS (SELECT event_id, user_id % 20 AS g, (epoch_us(ts) // 1000000 % 86400) / 86400.0 AS t FROM events WHERE event_id % 10 < 10 AND event_type = 'click')
+WITH e AS (SELECT event_id, user_id % 20 AS g, (epoch_us(ts) // 1000000 % 86400) / 86400.0 AS t FROM events)
 SELECT a.event_id AS i, b.event_id AS j, round(abs((a.t - b.t) - round_even(a.t - b.t, 0)), 9) AS gap FROM e a JOIN e b ON a.g = b.g AND a.event_id < b.event_id AND abs((a.t - b.t) - round_even(a.t - b.t, 0)) <= 0.002
 """)
 def periodic_wrap_join(spark, sf):
-    e = table(spark, sf, "events").filter("event_type = 'click'").select("event_id", (F.col("user_id") % 20).alias("g"), (F.pmod(F.unix_seconds(F.col("ts").cast("timestamp")), F.lit(86400)) / 86400.0).alias("t"))
+    e = table(spark, sf, "events").select("event_id", (F.col("user_id") % 20).alias("g"), (F.pmod(F.unix_seconds(F.col("ts").cast("timestamp")), F.lit(86400)) / 86400.0).alias("t"))
     width, n = 0.002, 500
     a = e.withColumn("c", F.floor(F.col("t") / width)).withColumnsRenamed({"event_id": "i", "t": "ta"}).select("g", "i", "ta", "c")
     b = e.withColumn("c0", F.floor(F.col("t") / width)).withColumn("c", F.explode(F.array(*(F.pmod(F.col("c0") + k, F.lit(n)) for k in (-1, 0, 1))))).withColumnsRenamed({"event_id": "j", "t": "tb"}).select("g", "j", "tb", "c")
@@ -85,46 +85,28 @@ def shift_grid(spark, sf):
 
 
 @query(f"""
-WITH p AS (SELECT label AS graph, vec_id AS point, embedding[1]::DOUBLE * 3 AS x, embedding[2]::DOUBLE * 3 AS y, embedding[3]::DOUBLE * 3 AS z FROM embeddings WHERE vec_id < 150),
+WITH p AS (SELECT label AS graph, vec_id AS point, embedding[1]::DOUBLE * 3 AS x, embedding[2]::DOUBLE * 3 AS y, embedding[3]::DOUBLE * 3 AS z FROM embeddings),
 s AS (SELECT sx, sy, sz FROM (SELECT unnest(range(-3, 4))::INT AS sx), (SELECT unnest(range(-3, 4))::INT AS sy), (SELECT unnest(range(-3, 4))::INT AS sz)),
 d AS (SELECT a.graph, a.point AS i, b.point AS j, sx, sy, sz, b.x + sx * 2.0 + sy * 0.3 - a.x AS dx, b.y + sy * 2.2 + sz * 0.1 - a.y AS dy, b.z + sz * 2.4 - a.z AS dz FROM p a JOIN p b ON a.graph = b.graph, s)
 SELECT graph, i, j, sx, sy, sz, round({SHIFTED}, 6) AS dist FROM d WHERE {SHIFTED} < 0.7 AND (i <> j OR sx <> 0 OR sy <> 0 OR sz <> 0)
 """)
 def periodic_neighbours(spark, sf):
-    return lattice_neighbours(table(spark, sf, "embeddings").filter("vec_id < 150"))
-
-
-@query(ORACLE_SQL["periodic_neighbours"].replace(" WHERE vec_id < 150", ""))
-def periodic_neighbours_all(spark, sf):
-    return lattice_neighbours(table(spark, sf, "embeddings"))
-
-
-def lattice_neighbours(embeddings: DataFrame) -> DataFrame:
-    p = embeddings.select(F.col("label").alias("graph"), F.col("vec_id").alias("point"), *((F.col("embedding")[i].cast("double") * 3).alias(a) for i, a in enumerate("xyz")))
+    p = table(spark, sf, "embeddings").select(F.col("label").alias("graph"), F.col("vec_id").alias("point"), *((F.col("embedding")[i].cast("double") * 3).alias(a) for i, a in enumerate("xyz")))
     cell = {"ax": 2.0, "ay": 0.0, "az": 0.0, "bx": 0.3, "by": 2.2, "bz": 0.0, "cx": 0.0, "cy": 0.1, "cz": 2.4}
     cells = p.select("graph").distinct().select("graph", *(F.lit(v).alias(k) for k, v in cell.items()))
     return r6(jn.periodic_neighbours(p, cells, 0.7), "dist")
 
 
 @query("""
-WITH b AS (SELECT DISTINCT l_orderkey AS a, l_suppkey AS c FROM lineitem WHERE l_orderkey < 4000)
-SELECT x.a AS i, y.a AS k, count(*)::BIGINT AS n FROM b x JOIN b y ON x.c = y.c AND x.a < y.a GROUP BY 1, 2
+WITH b AS (SELECT DISTINCT l_orderkey AS a, l_suppkey AS c FROM lineitem)
+SELECT x.c AS i, y.c AS k, count(*)::BIGINT AS n FROM b x JOIN b y ON x.a = y.a AND x.c < y.c GROUP BY 1, 2
 """)
 def self_bond_angles(spark, sf):
-    return supplier_angles(table(spark, sf, "lineitem").filter("l_orderkey < 4000"))
-
-
-@query()
-def self_bond_angles_all(spark, sf):
-    """All orders. As many rows as pairs of orders with one supplier, so there is no SQL; tested by brute force."""
-    return supplier_angles(table(spark, sf, "lineitem"))
-
-
-def supplier_angles(lineitem: DataFrame) -> DataFrame:
-    e = lineitem.select(F.col("l_orderkey").alias("src"), F.col("l_suppkey").alias("dst")).distinct()
-    half = e.select("src", F.concat(F.lit("s"), "dst").alias("dst"))
-    both = half.select(F.col("src").cast("string").alias("src"), "dst").unionByName(half.select(F.col("dst").alias("src"), F.col("src").cast("string").alias("dst")))
-    a = jn.angle_paths(both).filter(F.col("centre").startswith("s"))
+    """Angles at each order between its suppliers: a centre has few neighbours."""
+    e = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("src"), F.col("l_suppkey").alias("dst")).distinct()
+    half = e.select(F.concat(F.lit("o"), "src").alias("src"), F.col("dst").cast("string").alias("dst"))
+    both = half.unionByName(half.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    a = jn.angle_paths(both, centres=F.col("centre").startswith("o"))
     i, k = F.col("i").cast("long"), F.col("k").cast("long")
     return a.select(F.least(i, k).alias("i"), F.greatest(i, k).alias("k")).groupBy("i", "k").agg(F.count(F.lit(1)).alias("n"))
 
@@ -146,7 +128,7 @@ SELECT graph, i, j FROM e JOIN r a ON a.point = i JOIN r b ON b.point = j WHERE
 """)
 def infer_bonds(spark, sf):
     p = points(spark, sf).withColumn("r", 0.1 + 0.01 * (F.col("point") % 5))
-    return jn.infer_bonds(p, largest=0.28).select("graph", "i", "j")
+    return jn.infer_bonds(p).select("graph", "i", "j")
 
 
 ENERGY_EDGES = """s AS (SELECT graph, i, j, greatest(dist, 1e-3) AS d, 0.05 + 0.01 * (i % 3) + 0.05 + 0.01 * (j % 3) AS s, (i % 7 - 3)::DOUBLE AS q1, (j % 7 - 3)::DOUBLE AS q2 FROM e WHERE dist <= 0.3 AND i < j)"""
@@ -300,22 +282,19 @@ def niggli_overlap(spark, sf):
     return r6(cells(spark, sf).select("p_partkey", g.niggli_overlap(*cr.CELL).alias("overlap"), g.niggli_mirror(*cr.CELL)[0].alias("mirrored")), "overlap", "mirrored")
 
 
+LATENT_SQL = "sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow((a.z - b.z + 1) - 2 * floor((a.z - b.z + 1) / 2) - 1, 2))"
+
+
 @query(f"""
-WITH {POINTS_SQL} SELECT a.point AS i, b.point AS j, round(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow((a.z - b.z + 1) - 2 * floor((a.z - b.z + 1) / 2) - 1, 2)), 6) AS dist FROM p a JOIN p b ON a.graph = b.graph AND a.point < b.point AND b.point < a.point + 40
+WITH {POINTS_SQL} SELECT a.point AS i, b.point AS j, round({LATENT_SQL}, 6) AS dist FROM p a JOIN p b ON a.graph = b.graph AND a.point < b.point WHERE {LATENT_SQL} < 0.15
 """)
 def latent_distances(spark, sf):
-    p = points(spark, sf).select("graph", F.col("point").alias("i"), F.array("x", "y", "z").alias("v"), F.floor(F.col("point") / 40).alias("c"))
-    q = p.select("graph", F.col("i").alias("j"), F.col("v").alias("w"), F.explode(F.array(F.col("c") - 1, F.col("c"))).alias("c"))
-    met = p.join(q, ["graph", "c"]).filter("i < j AND j < i + 40")
-    return r6(met.select("i", "j", g.latent_distance(F.col("v"), F.col("w"), 2).alias("dist")), "dist")
-
-
-@query(ORACLE_SQL["latent_distances"].replace(" AND b.point < a.point + 40", ""))
-def latent_distances_all(spark, sf):
-    """All pairs of a graph."""
-    p = points(spark, sf).select("graph", F.col("point").alias("i"), F.array("x", "y", "z").alias("v"))
-    met = p.join(p.select("graph", F.col("i").alias("j"), F.col("v").alias("w")), "graph").filter("i < j")
-    return r6(met.select("i", "j", g.latent_distance(F.col("v"), F.col("w"), 2).alias("dist")), "dist")
+    """Pairs of a graph in reach: met by a radius join on the two plain axes, then the wrapped one counts."""
+    p = points(spark, sf)
+    near = jn.radius_join(p.withColumn("z", F.lit(0.0)), p.withColumn("z", F.lit(0.0)), 0.15, group="graph").filter("i < j").select("graph", "i", "j")
+    for s, v in (("i", "v"), ("j", "w")):
+        near = near.join(p.select("graph", F.col("point").alias(s), F.array("x", "y", "z").alias(v)), ["graph", s])
+    return r6(near.select("i", "j", g.latent_distance(F.col("v"), F.col("w"), 2).alias("dist")).filter("dist < 0.15"), "dist")
 
 
 @query("""
@@ -376,9 +355,16 @@ def molecule_volume(spark, sf):
     return r6(agg.molecule_volume(p, "graph", e), "volume")
 
 
-@query("SELECT sg, system, ax::DOUBLE AS ax FROM (VALUES (1, 'triclinic', 1.0), (14, 'monoclinic', 1.0), (61, 'orthorhombic', 1.0), (19, 'orthorhombic', 0.5), (227, 'cubic', 1.0)) AS t(sg, system, ax)")
+BOXES_SQL = ", ".join(f"({k}, {x}, {y}, {z})" for k, (x, y, z) in tb.ASYM_UNITS.items())
+
+
+@query(f"""
+WITH s AS (SELECT unnest(range(1, 231)) AS sg), t AS (SELECT * FROM (VALUES {BOXES_SQL}) AS b(sg, ax, ay, az))
+SELECT s.sg::INT AS sg, CASE WHEN s.sg < 3 THEN 'triclinic' WHEN s.sg < 16 THEN 'monoclinic' WHEN s.sg < 75 THEN 'orthorhombic' WHEN s.sg < 143 THEN 'tetragonal' WHEN s.sg < 168 THEN 'trigonal'
+ WHEN s.sg < 195 THEN 'hexagonal' ELSE 'cubic' END AS system, coalesce(ax, 1)::DOUBLE AS ax, coalesce(ay, 1)::DOUBLE AS ay, coalesce(az, 1)::DOUBLE AS az FROM s LEFT JOIN t ON s.sg = t.sg
+""")
 def space_group_lookup(spark, sf):
-    return tb.space_groups(spark).filter(F.col("sg_ind").isin(1, 14, 19, 61, 227)).select(F.col("sg_ind").alias("sg"), "system", "ax")
+    return tb.space_groups(spark).select(F.col("sg_ind").alias("sg"), "system", "ax", "ay", "az")
 
 
 @query("""
@@ -436,23 +422,10 @@ def random_crystal_search(spark, sf):
     return r6(cr.best_attempt(mol, "p_partkey", lambda d: d.withColumn("score", g.reduction_penalty(F.lit("triclinic"), *cr.CELL)), 5, 3).select("p_partkey", "attempt", "score"), "score")
 
 
-@query(f"""
-WITH RECURSIVE {POINTS_SQL}, r AS (SELECT *, row_number() OVER (ORDER BY x, point) AS k FROM p WHERE point < 200),
-w AS (SELECT 1 AS k, [point] AS kept FROM r WHERE k = 1
- UNION ALL SELECT r.k, CASE WHEN EXISTS (SELECT 1 FROM r q WHERE list_contains(w.kept, q.point) AND pow(q.x - r.x, 2) + pow(q.y - r.y, 2) + pow(q.z - r.z, 2) <= 0.04) THEN w.kept ELSE list_append(w.kept, r.point) END FROM w JOIN r ON r.k = w.k + 1)
-SELECT unnest(kept) AS point FROM w WHERE k = (SELECT max(k) FROM r)
-""")
-def greedy_anchors(spark, sf):
-    return anchors_by_x(points(spark, sf).filter("point < 200"))
-
-
 @query()
-def greedy_anchors_all(spark, sf):
+def greedy_anchors(spark, sf):
     """All points. The recursive SQL goes point by point, so there is none; tested by brute force."""
-    return anchors_by_x(points(spark, sf))
-
-
-def anchors_by_x(p: DataFrame) -> DataFrame:
+    p = points(spark, sf)
     e = jn.radius_join(p, p, 0.2, group=None).filter("i <> j").select(F.col("i").alias("a"), F.col("j").alias("b"))
     return cl.greedy_anchors(p, e, "x", "point")
 
@@ -539,21 +512,12 @@ def thermo_text_parse(spark, sf):
 
 
 @query("""
-WITH g AS (SELECT l_orderkey AS name, count(*) AS n FROM lineitem WHERE l_orderkey <= 500 GROUP BY 1)
-SELECT name, atom, 'C' AS symbol, 6 AS z, round(x, 3) AS x, q FROM (SELECT l_orderkey AS name, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1)::INT AS atom, l_quantity AS x, l_tax AS q FROM lineitem WHERE l_orderkey <= 500)
+WITH g AS (SELECT l_orderkey AS name, count(*) AS n FROM lineitem GROUP BY 1)
+SELECT name, atom, 'C' AS symbol, 6 AS z, round(x, 3) AS x, q FROM (SELECT l_orderkey AS name, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity, l_tax) - 1)::INT AS atom, l_quantity AS x, l_tax AS q FROM lineitem)
 """)
 def xyz_parse(spark, sf):
-    """Atoms written as XYZ texts and read back."""
-    return through_xyz(table(spark, sf, "lineitem").filter("l_orderkey <= 500"))
-
-
-@query(ORACLE_SQL["xyz_parse"].replace(" WHERE l_orderkey <= 500", "").replace("l_linenumber, l_partkey)", "l_linenumber, l_partkey, l_quantity, l_tax)"))
-def xyz_parse_all(spark, sf):
-    """Whole tables hold rows alike in line and part; these go by quantity and tax."""
-    return through_xyz(table(spark, sf, "lineitem"))
-
-
-def through_xyz(li: DataFrame) -> DataFrame:
+    """Atoms written as XYZ texts and read back; rows alike in line and part go by quantity and tax."""
+    li = table(spark, sf, "lineitem")
     line = F.concat(F.lit("C\t"), F.col("l_quantity").cast("string"), F.lit("\t0\t0\t"), F.col("l_tax").cast("string"))
     t = li.groupBy(F.col("l_orderkey").alias("name")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity", "l_tax", line.alias("s")))).alias("rows"))
     t = t.select("name", F.concat(F.size("rows").cast("string"), F.lit("\ngdb 1\t2.5\n"), F.array_join(F.transform("rows", lambda r: r["s"]), "\n"), F.lit("\n1.0\nCCO\tCCO\nInChI\n")).alias("value"))
@@ -562,20 +526,11 @@ def through_xyz(li: DataFrame) -> DataFrame:
 
 
 @query("""
-SELECT event_type AS name, event_id AS step, round(value, 4) AS temp FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS r FROM events WHERE event_id < 500)
+SELECT event_type AS name, event_id AS step, round(value, 4) AS temp FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS r FROM events)
 """)
 def thermo_log(spark, sf):
-    """Log rows between Step and Loop lines, written and read back; each step is written twice and the last stays."""
-    return through_log(table(spark, sf, "events").filter("event_id < 500"))
-
-
-@query(ORACLE_SQL["thermo_log"].replace(" WHERE event_id < 500", ""))
-def thermo_log_all(spark, sf):
-    """A log for each type and 500 event ids, so that no text grows with the table."""
-    return through_log(table(spark, sf, "events"))
-
-
-def through_log(e: DataFrame) -> DataFrame:
+    """Log rows between Step and Loop lines, written and read back; each step is written twice and the last stays. A log for each type and 500 event ids, so that no text grows with the table."""
+    e = table(spark, sf, "events")
     row = F.concat_ws(" ", F.col("event_id").cast("string"), F.format_string("%.4f", F.col("value")))
     rows = e.groupBy(F.concat("event_type", F.lit("#"), F.floor(F.col("event_id") / 500).cast("string")).alias("name")).agg(F.array_sort(F.collect_list(F.struct("event_id", row.alias("s")))).alias("r"))
     twice = F.flatten(F.transform("r", lambda x: F.array(F.concat(x["event_id"].cast("string"), F.lit(" 0.0")), x["s"])))

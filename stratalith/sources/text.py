@@ -20,7 +20,7 @@ def read_xyz(texts: DataFrame, key: str = "name", text: str = "value") -> tuple[
     lines = F.split(F.col(text), "\r?\n")
     n = F.trim(lines[0]).try_cast("int")
     rows = texts.select(key, lines.alias("lines"), n.alias("n_atoms")).filter(F.col("n_atoms").isNotNull())
-    props = F.transform(F.slice(F.split(F.element_at("lines", 2), "\t"), 2, 100), lambda x: x.try_cast("double"))
+    props = F.transform(F.slice(F.split(F.element_at("lines", 2), "\t"), F.lit(2), F.greatest(F.size(F.split(F.element_at("lines", 2), "\t")) - 1, F.lit(0))), lambda x: x.try_cast("double"))
     last = F.filter("lines", lambda x: F.trim(x) != "")
     molecules = rows.select(key, "n_atoms", props.alias("properties"), F.split(F.element_at(last, F.greatest(F.size(last) - 1, F.lit(1))), "\t")[0].alias("smiles"))
     at = rows.select(key, F.posexplode(F.slice("lines", 3, F.col("n_atoms"))).alias("atom", "line"))

@@ -96,3 +96,22 @@ def test_systems(spark):
 def test_spheres(spark):
     got = one(spark, apart=g.lens_volume(F.lit(1.0), F.lit(1.0), F.lit(3.0)), inside=g.lens_volume(F.lit(2.0), F.lit(1.0), F.lit(0.5)), half=g.lens_volume(F.lit(1.0), F.lit(1.0), F.lit(1.0)))
     assert got["apart"] == 0 and got["inside"] == pytest.approx(4 / 3 * math.pi) and got["half"] == pytest.approx(5 * math.pi / 12)
+
+
+def test_rotation_vectors_of_flat_matrices(spark):
+    """The identity has no turn; half turns keep their axis."""
+    eye = tuple(tuple(F.lit(float(i == j)) for j in range(3)) for i in range(3))
+    row = spark.range(1).select(*(x.alias(a) for a, x in zip("abc", g.rotation_vector(eye), strict=True))).first()
+    assert tuple(row) == (0.0, 0.0, 0.0)
+    for axis in ((1.0, 0.0, 0.0), (0.0, 0.6, -0.8), (0.48, 0.6, 0.64)):
+        m = tuple(tuple(F.lit(2 * axis[i] * axis[j] - (i == j)) for j in range(3)) for i in range(3))
+        got = spark.range(1).select(*(x.alias(a) for a, x in zip("abc", g.rotation_vector(m), strict=True))).first()
+        assert got == pytest.approx([math.pi * x for x in axis], abs=1e-6)
+
+
+def test_inverse_normal_is_close(spark):
+    from statistics import NormalDist
+
+    us = [1e-5, 0.001, 0.02, 0.0243, 0.3, 0.5, 0.77, 0.98, 0.9999]
+    got = [r.z for r in spark.createDataFrame([(u,) for u in us], "u double").select(m.uniform_to_normal("u").alias("z")).collect()]
+    assert got == pytest.approx([NormalDist().inv_cdf(u) for u in us], abs=1e-7)

@@ -20,6 +20,7 @@ from stratalith.operators import layout as lay
 from stratalith.operators import plugins as pg
 from stratalith.operators import windows as wn
 from stratalith.plans import catalog
+from stratalith.sources import text as tx
 
 
 def cloud(spark, n=80, groups=3, seed=1):
@@ -212,3 +213,25 @@ def test_metropolis(spark):
 
 def test_circular_difference(spark):
     assert spark.range(1).select(g.circular_difference(F.lit(0.9), F.lit(-0.9))).first()[0] == pytest.approx(-0.2)
+
+
+@pytest.mark.parametrize("alone", [200_000, 0])
+def test_greedy_anchors_in_rounds_and_in_one_task(spark, alone):
+    """A chain of conflicts in rank order needs a round for each second point, or one task."""
+    p = spark.createDataFrame([(i, i / 10) for i in range(9)], "point long, x double")
+    e = spark.createDataFrame([(i, i + 1) for i in range(8)], "a long, b long")
+    got = sorted(r.point for r in cl.greedy_anchors(p, e, "x", "point", alone=alone).collect())
+    assert got == [0, 2, 4, 6, 8]
+
+
+def test_many_properties_of_an_xyz_text(spark):
+    line = "\t".join(["gdb 1", *(str(float(i)) for i in range(150))])
+    rows, _ = tx.read_xyz(spark.createDataFrame([("a", f"1\n{line}\nC\t0\t0\t0\t0\n1.0\nCC\tCC\nInChI")], "name string, value string"))
+    assert len(rows.first().properties) == 150
+
+
+def test_bonds_of_large_atoms_and_many_translations(spark):
+    atoms = spark.createDataFrame([(1, 1, 0.0, 0.0, 0.0, 2.5), (1, 2, 5.5, 0.0, 0.0, 2.5)], "graph long, point long, x double, y double, z double, r double")
+    assert jn.infer_bonds(atoms).count() == 1
+    cell = spark.createDataFrame([(1, 1.0, 0.0, 0.0, 0.0, 20.0, 0.0, 0.0, 0.0, 20.0, 5.0)], "k int, ax double, ay double, az double, bx double, by double, bz double, cx double, cy double, cz double, radius double")
+    assert jn.lattice_translations(cell, 1.0, "k").agg({"n0": "max"}).first()[0] > 20
