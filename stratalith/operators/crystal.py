@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..functions.scalars import hashed_uniform, uniform_to_normal
 from ..functions.tables import crystal_system
-from .aggregates import centroids, radii
+from .aggregates import centroids, principal_axes, radii
 from .joins import radius_join, symmetry_images
 
 CELL = ("a", "b", "c", "alpha", "beta", "gamma")
@@ -31,12 +31,12 @@ def matrix(prefix: str):
 
 
 def pose(atoms: DataFrame, crystals: DataFrame, key: str = "crystal") -> DataFrame:
-    """Molecules (key, atom, x, y, z) centred, turned by the crystal's rotation vector (ox, oy, oz), mirrored if hand is -1, and moved to the fractional centroid (fx, fy, fz)."""
+    """Molecules (key, atom, x, y, z) centred, mirrored along x if hand is -1, turned by the crystal's rotation vector (ox, oy, oz), and moved to the fractional centroid (fx, fy, fz)."""
     c = with_cell(crystals)
     rows = atoms.join(centroids(atoms, key), key).join(c, key)
     v = tuple(F.col(a) - F.col(f"c_{a}") for a in "xyz")
     hand = F.coalesce("hand", F.lit(1)).cast("double") if "hand" in crystals.columns else F.lit(1.0)
-    turned = g.matvec(g.rotation_matrix(g.vec("ox", "oy", "oz")), (v[0] * hand, v[1] * hand, v[2] * hand))
+    turned = g.matvec(g.rotation_matrix(g.vec("ox", "oy", "oz")), (v[0] * hand, v[1], v[2]))
     place = g.matvec(matrix("f2c"), g.vec("fx", "fy", "fz"))
     return rows.withColumns({a: t + p for a, t, p in zip("xyz", turned, place, strict=True)}).select(*atoms.columns)
 
@@ -95,6 +95,43 @@ def reparametrise(cell_atoms: DataFrame, crystals: DataFrame, boxes: DataFrame,
     return rows.withColumn("_r", best).filter("_r = 1").select(key, "image", "fx", "fy", "fz", (F.col("n") == 1).alias("well_defined"))
 
 
+def handedness(axes):
+    """+1 or -1: whether three axes (rows) are right- or left-handed; 0 where they are flat."""
+    return F.signum(g.determinant(axes)).cast("int")
+
+
+def principal_frame(atoms: DataFrame, key: str) -> DataFrame:
+    """(key, ox, oy, oz, hand): the turn that brings a molecule from its standard axes to where it is, with z >= 0, and the handedness of its principal axes.
+
+    The standard form has the principal axes as x, y and z, each towards the farthest atom; a left-handed molecule is mirrored along x there.
+    """
+    axes = principal_axes(atoms, key).select(key, *(F.col("axes")[k][i].alias(f"_a{k}{i}") for k in range(3) for i in range(3)))
+    rows = tuple(tuple(F.col(f"_a{k}{i}") for i in range(3)) for k in range(3))
+    axes = axes.withColumn("hand", handedness(rows))
+    # Columns of the turn are the images of x (of -x for a left-handed molecule), y and z.
+    turn = tuple((rows[0][i] * F.col("hand"), rows[1][i], rows[2][i]) for i in range(3))
+    # Step by step, as one expression would hold the matrix hundreds of times.
+    axes = axes.withColumns({f"_t_{i}{j}": turn[i][j] for i in range(3) for j in range(3)})
+    axes = axes.withColumns({f"_v{x}": v for v, x in zip(g.rotation_vector(matrix("_t")), "xyz", strict=True)})
+    return axes.select(key, *(v.alias(f"o{x}") for v, x in zip(g.canonical_rotvec(g.vec("_vx", "_vy", "_vz")), "xyz", strict=True)), "hand")
+
+
+def standard_form(atoms: DataFrame, key: str) -> DataFrame:
+    """Atoms in their molecule's principal axes, centred."""
+    axes = principal_axes(atoms, key).select(key, "axes")
+    rows = atoms.join(centroids(atoms, key), key).join(axes, key)
+    v = tuple(F.col(a) - F.col(f"c_{a}") for a in "xyz")
+    new = {a: g.dot(tuple(F.col("axes")[k][i] for i in range(3)), v) for k, a in enumerate("xyz")}
+    return rows.withColumns(new).select(*atoms.columns)
+
+
+def parameters(cell_atoms: DataFrame, crystals: DataFrame, boxes: DataFrame, key: str = "crystal") -> DataFrame:
+    """What ``reparametrise`` finds, with the orientation (ox, oy, oz) and handedness of the image in the asymmetric unit."""
+    found = reparametrise(cell_atoms, crystals, boxes, key)
+    home = cell_atoms.join(found.select(key, "image"), [key, "image"], "left_semi")
+    return found.join(principal_frame(home, key), key)
+
+
 def random_crystals(molecules: DataFrame, key: str, seed: int, sg_ind: int = 1) -> DataFrame:
     """Seeded random parameters by key: lengths to a packing near 0.62, angles near 90 degrees, uniform centroids and turns."""
     def u(name):

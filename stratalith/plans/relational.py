@@ -414,7 +414,7 @@ def parse_tokens(spark, sf):
 
 
 @query("""
-SELECT l_orderkey, l_linenumber, CASE WHEN l_suppkey % 3 = 0 THEN 'a_to_b' ELSE 'b_to_c' END AS channel, l_shipdate IS NOT NULL AS dated FROM lineitem WHERE l_orderkey % 50 < 50
+SELECT l_orderkey, l_linenumber, CASE WHEN l_suppkey % 3 = 0 THEN 'a_to_b' ELSE 'b_to_c' END AS channel, l_shipdate IS NOT NULL AS dated FROM lineitem
 """)
 def channel_labels(spark, sf):
     x = F.when(F.col("l_suppkey") % 3 == 0, "a").otherwise("b")

@@ -415,6 +415,27 @@ def crystal_build_round_trip(spark, sf):
     return r6(back.join(crystals.select("crystal", *(F.col(f"f{a}").alias(f"set_{a}") for a in "xyz")), "crystal").join(near, "crystal"), "fx", "fy", "fz", "set_x", "set_y", "set_z")
 
 
+@query("""
+SELECT p_partkey AS crystal, round(0.1 + p_partkey % 9 / 40.0, 4) AS fx, round(0.15 + p_partkey % 8 / 30.0, 4) AS fy, round(0.2 + p_partkey % 6 / 20.0, 4) AS fz,
+ round(0.3 + p_partkey % 7 / 10.0, 4) AS ox, round(p_partkey % 11 / 20.0 - 0.2, 4) AS oy, round(0.1 + p_partkey % 5 / 8.0, 4) AS oz, (CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE -1 END)::INT AS hand
+FROM part WHERE EXISTS (SELECT 1 FROM embeddings)
+""")
+def crystal_parameters(spark, sf):
+    """Crystals built from centroid, orientation and handedness give all three back. Each part takes a molecule in turn."""
+    n, low = table(spark, sf, "embeddings").agg(F.count(F.lit(1)), F.min("vec_id")).first()
+    part = cells(spark, sf).withColumn("crystal", F.col("p_partkey")).withColumn("sg_ind", F.lit(2))
+    k = F.col("p_partkey")
+    set_to = {"fx": 0.1 + k % 9 / 40.0, "fy": 0.15 + k % 8 / 30.0, "fz": 0.2 + k % 6 / 20.0, "ox": 0.3 + k % 7 / 10.0, "oy": k % 11 / 20.0 - 0.2, "oz": 0.1 + k % 5 / 8.0, "hand": F.when(k % 2 == 0, 1).otherwise(-1)}
+    crystals = part.withColumns(set_to)
+    one = cr.standard_form(molecules(spark, sf), "vec_id")
+    atoms = crystals.select("crystal", (k % max(n, 1) + (low or 0)).alias("vec_id")).join(one, "vec_id").drop("vec_id")
+    ops = spark.createDataFrame([(2, 0, "x,y,z"), (2, 1, "-x,-y,-z")], "sg_ind int, op int, s string")
+    ops = ops.select("sg_ind", "op", *(e.alias(c) for c, e in tb.parse_symmetry(F.col("s")).items()))
+    cell = cr.unit_cell(cr.pose(atoms, crystals), crystals, ops)
+    found = cr.parameters(cell, crystals, tb.space_groups(spark))
+    return r6(found.select("crystal", "fx", "fy", "fz", "ox", "oy", "oz", "hand"), "fx", "fy", "fz", "ox", "oy", "oz", digits=4)
+
+
 @query()
 def random_crystal_search(spark, sf):
     """Best of seeded attempts by penalty."""
