@@ -7,11 +7,14 @@ several contexts are sorted, in buckets of the anchor (a sparse suffix array). F
 
 * backward extension: one LF step (a stable sort by the byte before each suffix, the column of the
   Burrows-Wheeler transform) turns the order of suffixes that begin o bytes before the anchors into that at o + 1;
-* breadth first: a step extends all intervals at once, and neighbours whose common prefix is under the
-  minimum length part; a common prefix grows by one to the left with each step, so steps stop at 100;
-* an interval of two or more suffixes is a repeated string: all but its first occurrence are marked.
-
-Strings are compared byte by byte there. Anchors with one context need no closer look: equal context hashes
+* common prefixes are derived by it, by increasing value: two neighbours after a step share one byte more than the least
+  common prefix between their places before it, or nothing where the bytes differ. No string is compared again;
+* breadth first and bounded: a step extends all intervals at once. An interval is a run of suffixes whose common prefixes
+  can still reach the minimum length in the steps left (28 bytes at the anchor, one more with each step); what stands alone in
+  its interval is dropped, and steps stop at the minimum length;
+* suffixes that share 100 bytes or more are one repeated string: all but its first occurrence are marked.
+
+Bytes are compared for the first order only. Anchors with one context need no interval: equal context hashes
 (64 bits each for anchor and context) settle them.
 
 Defined results: a null text is empty; a text of fewer than 100 bytes loses none; rows with one doc_id and
@@ -41,23 +44,48 @@ def suffix_order(strings: np.ndarray) -> np.ndarray:
     return np.lexsort(words.T[::-1])
 
 
+def common_prefixes(strings: np.ndarray) -> np.ndarray:
+    """How many bytes each row of an ordered matrix shares with the one before it; 0 for the first."""
+    if not len(strings):
+        return np.zeros(0, np.int64)
+    other = strings[1:] != strings[:-1]
+    return np.r_[0, np.where(other.any(axis=1), other.argmax(axis=1), strings.shape[1])]
+
+
+def least_between(values: np.ndarray, after: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """min(values[after + 1 .. to]) for each pair of places."""
+    if not len(after):
+        return np.zeros(0, values.dtype)
+    edges = np.stack([after + 1, to + 1], 1).ravel()
+    return np.minimum.reduceat(np.r_[values, values.max()], edges)[::2]
+
+
 def expand_intervals(runs: Runs, anchor: np.ndarray, context: np.ndarray, sides: np.ndarray) -> np.ndarray:
     """[i, o]: whether the string from o bytes before anchor i has an earlier occurrence; rows come in text order."""
     side, length, m = runs.length - runs.gram, runs.length, len(anchor)
     marked = np.zeros((m, side + 1), bool)
     order = suffix_order(context[:, side : side + length])
+    shared = common_prefixes(context[order, side : side + length])
     for o in range(side + 1):
-        whole = (sides[:, 0] >= o) & (sides[:, 1] >= side - o)
-        rows = order[whole[order]]
-        if len(rows) > 1:
-            strings = np.ascontiguousarray(context[rows, side - o : side - o + length])
-            part = np.ones(len(rows), bool)
-            part[1:] = (strings[1:] != strings[:-1]).any(axis=1)
-            first = np.minimum.reduceat(rows, np.flatnonzero(part))
-            marked[rows, o] = first[np.cumsum(part) - 1] != rows
+        interval = np.cumsum(np.r_[True, shared[1:] < length - side + o]) - 1 if len(order) else order
+        several = (np.bincount(interval) > 1)[interval] if len(order) else np.zeros(0, bool)
+        order, shared, interval = order[several], shared[several], interval[several]
+        if not len(order):
+            break
+        whole = (sides[order, 0] >= o) & (sides[order, 1] >= side - o)
+        new = np.r_[True, shared[1:] < length]
+        new[1:] |= interval[1:] != interval[:-1]
+        first = np.minimum.reduceat(np.where(whole, order, m), np.flatnonzero(new))
+        marked[order[whole & (first[np.cumsum(new) - 1] != order)], o] = True
         if o < side:
-            before = context[order, side - o - 1]
-            order = order[np.argsort(before, kind="stable")]
+            at = np.flatnonzero(sides[order, 0] > o)
+            byte = context[order[at], side - o - 1]
+            at = at[np.lexsort((at, byte, interval[at]))]
+            byte, of = context[order[at], side - o - 1], interval[at]
+            same = np.flatnonzero((byte[1:] == byte[:-1]) & (of[1:] == of[:-1]))
+            longer = np.zeros(len(at), np.int64)
+            longer[same + 1] = 1 + least_between(shared, at[same], at[same + 1])
+            order, shared = order[at], longer
     return marked
 
 

@@ -260,6 +260,32 @@ def test_anchor_windows_hold_one_anchor():
     assert all(any(s <= p <= s + 14 for p in first) for s in range(381))
 
 
+def test_intervals_against_comparison_of_all_strings():
+    """Carried common prefixes mark the same strings as comparing each with each, texts that end nearby included."""
+    rng = np.random.default_rng(7)
+    runs = an.Runs(12, 4, "byte", True)
+    side = runs.length - runs.gram
+    for letters in (1, 2, 3):
+        for m in (1, 2, 40):
+            context = rng.integers(0, letters, (m, 2 * side + runs.gram)).astype(np.uint8)
+            context[:, side : side + runs.gram] = 1
+            context[m // 2 :, side:] = context[0, side:]
+            sides = rng.integers(0, side + 1, (m, 2))
+            sides[rng.random(m) < 0.6] = side
+            for i in range(m):
+                context[i, : side - sides[i, 0]] = 0
+                context[i, side + runs.gram + sides[i, 1] :] = 0
+            got = sx.expand_intervals(runs, np.zeros(m, np.uint64), context, sides)
+            for o in range(side + 1):
+                seen = set()
+                for i in range(m):
+                    string = context[i, side - o : side - o + runs.length].tobytes()
+                    whole = sides[i, 0] >= o and sides[i, 1] >= side - o
+                    assert got[i, o] == (whole and string in seen), (letters, m, o, i)
+                    if whole:
+                        seen.add(string)
+
+
 def test_word_hashes_of_blocks():
     texts = ["ab  cd\tef", "", "ab", " x", "y "]
     raw = "".join(texts).encode()
