@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import extra, relational, spatial  # noqa: F401  registration
+from . import extra, records, relational, spatial  # noqa: F401  registration
 from .base import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
