@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import lens_volume, sphere_volume
+from .windows import running_total
 
 REDUCE = {"sum": F.sum, "mean": F.avg, "max": F.max, "min": F.min}
 
@@ -44,9 +46,50 @@ def radii(atoms: DataFrame, key: str, axes: tuple[str, ...] = ("x", "y", "z"), t
     return rows.groupBy(key).agg(*aggs)
 
 
+#: Up to so many values one aggregation buffer takes an exact quantile; of more, ranks are narrowed down by scans.
+BUFFERED = 1_000_000
+
+
+def kth_values(df: DataFrame, value: str, ranks: list[int], bins: int = 4096) -> dict[int, float]:
+    """The values of given ranks (0: the least), exactly. Each scan counts the values of a range by bins (a small aggregation) and goes on with the bin that holds the rank."""
+    v = df.select(F.col(value).cast("double").alias("v")).filter("v IS NOT NULL")
+    low, high = v.agg(F.min("v"), F.max("v")).first()
+    spans, found = {k: (low, high, 0) for k in ranks}, {}
+    while spans:
+        parts = []
+        for k, (a, b, _) in spans.items():
+            width = (b - a) / bins
+            at = F.least(F.floor((F.col("v") - a) / width), F.lit(bins - 1)) if width > 0 else F.lit(0)
+            parts.append(F.when(F.col("v").between(a, b), F.struct(F.lit(k).alias("k"), at.cast("int").alias("b"))))
+        met = v.select("v", F.explode(F.array_compact(F.array(*parts))).alias("s"))
+        counts = met.groupBy("s.k", "s.b").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).orderBy("k", "b").collect()
+        for k, (_, _, before) in list(spans.items()):
+            for r in counts:
+                if r["k"] == k:
+                    if before + r["n"] > k:
+                        spans[k] = (r["low"], r["high"], before)
+                        break
+                    before += r["n"]
+            if spans[k][0] == spans[k][1]:
+                found[k] = spans.pop(k)[0]
+    return found
+
+
+def quantiles(df: DataFrame, value: str, names: dict[str, float], buffered: int = BUFFERED) -> DataFrame:
+    """One row with exact quantiles, interpolated between ranks; nulls without values."""
+    n = df.filter(F.col(value).isNotNull()).limit(buffered + 1).count()
+    if n <= buffered:
+        return df.agg(*(F.percentile(value, F.lit(p)).alias(k) for k, p in names.items()))
+    n = df.agg(F.count(value)).first()[0]
+    at = {k: p * (n - 1) for k, p in names.items()}
+    got = kth_values(df, value, sorted({int(x) for x in at.values()} | {min(int(x) + 1, n - 1) for x in at.values()}))
+    row = tuple(got[int(x)] + (x - int(x)) * (got[min(int(x) + 1, n - 1)] - got[int(x)]) for x in at.values())
+    return df.sparkSession.createDataFrame([row], ", ".join(f"{k} double" for k in at))
+
+
 def basic_stats(df: DataFrame, value: str, low: float = 0.05, high: float = 0.95) -> DataFrame:
     """One row: extremes, mean and sample std, and both again after clipping to two exact quantiles."""
-    q = df.agg(F.percentile(value, F.lit(low)).alias("q_low"), F.percentile(value, F.lit(high)).alias("q_high"))
+    q = quantiles(df, value, {"q_low": low, "q_high": high})
     clipped = F.greatest(F.least(F.col(value).cast("double"), F.col("q_high")), F.col("q_low"))
     return df.crossJoin(F.broadcast(q)).agg(
         F.min(value).cast("double").alias("lo"), F.max(value).cast("double").alias("hi"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"),
@@ -61,9 +104,11 @@ def standardized_target(df: DataFrame, value: str, name: str = "target") -> Data
 
 
 def stats_by_column(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Statistics of each of several columns, from one pass over the long form."""
+    """Statistics of each of several columns: one pass over the long form, and the quantiles of each."""
     long = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in columns))).alias("s")).select("s.*")
-    return long.groupBy("name").agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.percentile("v", F.lit(0.05)).alias("q05"), F.percentile("v", F.lit(0.95)).alias("q95"))
+    plain = long.groupBy("name").agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"))
+    parts = [quantiles(df, c, {"q05": 0.05, "q95": 0.95}).withColumn("name", F.lit(c)) for c in columns]
+    return plain.join(F.broadcast(reduce(DataFrame.unionByName, parts)), "name")
 
 
 def covariance_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -75,7 +120,7 @@ def covariance_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def value_shares(df: DataFrame, value: str) -> DataFrame:
     n = df.groupBy(value).agg(F.count(F.lit(1)).alias("n"))
-    return n.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
+    return n.crossJoin(F.broadcast(df.agg(F.count(F.lit(1)).alias("_all")))).withColumn("share", F.col("n") / F.col("_all")).drop("_all")
 
 
 def bin_of(value, low, width, bins: int) -> Column:
@@ -137,8 +182,7 @@ def confusion(df: DataFrame, truth: str, guess: str) -> DataFrame:
 def rank_auc(df: DataFrame, label: str, score: str) -> DataFrame:
     """Area under the ROC curve from mean ranks of ties, over counts by score; 1 for a single class."""
     by = df.groupBy(score).agg(F.sum(F.col(label).cast("double")).alias("p"), F.count(F.lit(1)).cast("double").alias("n"))
-    before = Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    r = by.withColumn("rank", F.coalesce(F.sum("n").over(before), F.lit(0.0)) + (F.col("n") + 1) / 2)
+    r = running_total(by, score, "n", "upto").withColumn("rank", F.col("upto") - F.col("n") + (F.col("n") + 1) / 2)
     s = r.agg(F.sum(F.col("rank") * F.col("p")).alias("rs"), F.sum("p").alias("p"), F.sum("n").alias("n"))
     return s.select(F.when((F.col("p") == 0) | (F.col("p") == F.col("n")), 1.0).otherwise(F.try_divide(F.col("rs") - F.col("p") * (F.col("p") + 1) / 2, F.col("p") * (F.col("n") - F.col("p")))).alias("auc"))
 

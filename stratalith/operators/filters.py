@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .aggregates import quantiles
+
 
 def condition(key: str, kind: str, arg, keep_nan: bool = False) -> Column:
     """One condition. ``range`` is inclusive and needs lo < hi; ``in`` and ``not_in`` take lists. A null value fails."""
@@ -52,7 +54,7 @@ def reason_counts(df: DataFrame, rules: list[tuple[str, Column]], passed: str =
 
 def below_quantile(df: DataFrame, value: str, q: float, factor: float = 1.0) -> DataFrame:
     """Rows under ``factor`` times the exact quantile."""
-    cut = df.agg((F.percentile(value, F.lit(q)) * factor).alias("_cut"))
+    cut = quantiles(df, value, {"_q": q}).select((F.col("_q") * factor).alias("_cut"))
     return df.crossJoin(F.broadcast(cut)).filter(F.col(value) < F.col("_cut")).drop("_cut")
 
 

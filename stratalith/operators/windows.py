@@ -93,6 +93,15 @@ def with_position(df: DataFrame, order: str, name: str = "_pos") -> DataFrame:
     return spread.join(F.broadcast(before), "_p").withColumn(name, (F.col("_b") + F.row_number().over(Window.partitionBy("_p").orderBy(order)) - 1).cast("long")).drop("_p", "_b")
 
 
+def running_total(df: DataFrame, order: str, value: str, name: str) -> DataFrame:
+    """Sum of a value over all rows up to each, in order, by ranges like ``with_position``. order: no two rows alike."""
+    spread = cut(df.repartitionByRange(order).withColumn("_p", F.spark_partition_id()))
+    sums = spread.groupBy("_p").agg(F.sum(value).alias("_n"))
+    before = sums.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
+    own = F.sum(value).over(Window.partitionBy("_p").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    return spread.join(F.broadcast(before), "_p").withColumn(name, F.col("_b") + own).drop("_p", "_b")
+
+
 def split_first(df: DataFrame, order: str, train_fraction: float) -> DataFrame:
     """Column ``split``: the first n - int(f n) rows are test, the rest train."""
     n = df.count()

@@ -235,3 +235,12 @@ def test_bonds_of_large_atoms_and_many_translations(spark):
     assert jn.infer_bonds(atoms).count() == 1
     cell = spark.createDataFrame([(1, 1.0, 0.0, 0.0, 0.0, 20.0, 0.0, 0.0, 0.0, 20.0, 5.0)], "k int, ax double, ay double, az double, bx double, by double, bz double, cx double, cy double, cz double, radius double")
     assert jn.lattice_translations(cell, 1.0, "k").agg({"n0": "max"}).first()[0] > 20
+
+
+def test_quantiles_by_scans(spark):
+    """Ranks narrowed down by scans are those of one buffer, with ties and heavy tails."""
+    rng = np.random.default_rng(3)
+    values = [*np.exp(rng.normal(0, 4, 900)).tolist(), *([7.0] * 300), None]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    names = {"a": 0.05, "b": 0.5, "c": 0.95, "d": 1.0}
+    assert agg.quantiles(df, "v", names, buffered=10).first() == pytest.approx(tuple(agg.quantiles(df, "v", names).first()), rel=1e-12)
