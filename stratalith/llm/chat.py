@@ -9,7 +9,7 @@ joined for each speaker, so that the turns of a very long dialogue meet only as
 gives the pieces as examples of their own: a null or negative turn belongs to example 0 or the negative examples by floor
 division. Null turns come first.
 
-Defined results: a null text is empty; a null or empty role is ``unknown``; rows alike in all columns
+Defined results: ``<|`` and ``|>`` of texts and roles become ``< |`` and ``| >``; a null text is empty; a null or empty role is ``unknown``; rows alike in all columns
 stay as turns of their own, ordered by (turn, role, text); a conversation with system turns only gives no row;
 an empty table gives an empty table; a null conv_id is a conversation of its own.
 """
@@ -27,13 +27,18 @@ def rotate_perspectives(turns: DataFrame, *, turns_per_example: int = TURNS_PER_
     return render(turns, F.coalesce(F.floor(F.col("turn") / F.lit(turns_per_example)), F.lit(0)), system_role)
 
 
+def plain(text):
+    """Without the marks of a turn: ``<|`` and ``|>`` of a text or role get a blank between, so that none forges a turn."""
+    return F.replace(F.replace(text, F.lit("<|"), F.lit("< |")), F.lit("|>"), F.lit("| >"))
+
+
 def render(turns: DataFrame, example, system_role: str) -> DataFrame:
     t = turns.select(
         "conv_id",
         example.cast("long").alias("example"),
         F.col("turn").cast("long").alias("turn"),
-        F.when(F.coalesce("role", F.lit("")) == "", F.lit("unknown")).otherwise(F.col("role")).alias("role"),
-        F.coalesce("text", F.lit("")).alias("text"),
+        F.when(F.coalesce("role", F.lit("")) == "", F.lit("unknown")).otherwise(plain(F.col("role"))).alias("role"),
+        plain(F.coalesce("text", F.lit(""))).alias("text"),
     )
     talks = t.groupBy("conv_id", "example").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
     speakers = t.filter(F.col("role") != system_role).select("conv_id", F.col("role").alias("speaker")).distinct()
@@ -92,8 +97,9 @@ def op9_rotate_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("mask", spans)
 
 
-SQL = f"""
-WITH t AS (SELECT conv_id, coalesce(floor(turn / {TURNS_PER_EXAMPLE}.0), 0)::BIGINT AS example, turn, CASE WHEN coalesce(role, '') = '' THEN 'unknown' ELSE role END AS role, coalesce(text, '') AS text FROM conversations),
+SQL = """
+WITH t AS (SELECT conv_id, 0::BIGINT AS example, turn, CASE WHEN coalesce(role, '') = '' THEN 'unknown' ELSE replace(replace(role, '<|', '< |'), '|>', '| >') END AS role,
+ replace(replace(coalesce(text, ''), '<|', '< |'), '|>', '| >') AS text FROM conversations),
 s AS (SELECT DISTINCT conv_id, role AS speaker FROM t WHERE role <> 'system'),
 x AS (SELECT t.*, speaker, CASE WHEN role = speaker THEN '<|assistant|>' WHEN role = 'system' THEN '<|system|>' ELSE '<|user:' || role || '|>' END || chr(10) AS head
       FROM t JOIN s ON t.conv_id IS NOT DISTINCT FROM s.conv_id),
