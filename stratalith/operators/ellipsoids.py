@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,11 +46,75 @@ def ellipsoid_overlap(pairs: DataFrame, probes: int, seed: int = 1, key: str = "
     return pairs.select(key).join(got, key, "left").select(key, F.coalesce("overlap", F.lit(0.0)).alias("overlap"))
 
 
-def grid_volume(atoms: DataFrame, key: str, step: float) -> DataFrame:
-    """(key, volume): cells of a grid whose centre some sphere covers. atoms: (key, x, y, z, r). Each atom lists its own cells, so work follows the atoms' volume."""
-    rows = atoms
-    for a in "xyz":
-        rows = rows.withColumn(f"c{a}", F.explode(F.sequence(F.floor((F.col(a) - F.col("r")) / step), F.floor((F.col(a) + F.col("r")) / step))))
-    d2 = sum((((F.col(f"c{a}") + 0.5) * step - F.col(a)) * ((F.col(f"c{a}") + 0.5) * step - F.col(a)) for a in "xyz"), F.lit(0.0))
-    cells = rows.filter(d2 <= F.col("r") * F.col("r")).select(key, "cx", "cy", "cz").distinct()
-    return cells.groupBy(key).agg((F.count(F.lit(1)) * step**3).alias("volume"))
+def grid_volume(atoms: DataFrame, key: str, step: float, slab: int = 64) -> DataFrame:
+    """(key, volume): cells of a grid whose centre some sphere covers. atoms: (key, x, y, z, r).
+
+    A sphere covers one run of cells in each column along z; runs of a column are united, no cell is a row. A key is dealt
+    by slabs of ``slab`` cells along x, so that large ones are shared by tasks.
+    """
+    lo, hi = (F.floor(F.floor((F.col("x") + side * F.col("r")) / step) / slab) for side in (-1, 1))
+    own = F.struct(*(F.col(a).cast("double").alias(a) for a in "xyzr"))
+    found = atoms.filter(" AND ".join(f"{a} IS NOT NULL" for a in (key, "x", "y", "z", "r")))
+    dealt = found.withColumn("_s", F.explode(F.sequence(lo, hi))).groupBy(key, "_s").agg(F.collect_list(own).alias("_a"))
+
+    def count(batches):
+        for b in batches:
+            many = np.diff(b.column(2).offsets.to_numpy())
+            of, flat = np.repeat(np.arange(len(many)), many), b.column(2).flatten()
+            at, first = np.array([np.asarray(flat.field(k)) for k in range(4)]).reshape(4, -1), b.column(1).to_numpy() * slab
+            total = np.zeros(len(many), np.int64)
+            wide = np.floor((at[0] + at[3]) / step) - np.floor((at[0] - at[3]) / step) + 1, np.floor((at[1] + at[3]) / step) - np.floor((at[1] - at[3]) / step) + 1
+            ends = np.cumsum(np.bincount(of, np.minimum(wide[0], slab) * wide[1], len(many)))
+            cuts = np.unique(np.concatenate([np.searchsorted(ends, np.arange(1_000_000, ends[-1] if len(ends) else 0, 1_000_000)), [len(many)]]))
+            start = 0
+            for end in cuts:  # whole rows, of about a million columns together
+                s = slice(*np.searchsorted(of, [start, end]))
+                total[start:end] = covered(at[:, s], of[s] - start, first[start:end], slab, step, end - start)
+                start = end
+            yield pa.record_batch([b.column(0), pa.array(total)], names=[key, "_n"])
+
+    cells = dealt.select(key, "_s", "_a").mapInArrow(count, f"`{key}` {dict(atoms.dtypes)[key]}, _n long")
+    return cells.groupBy(key).agg(F.sum("_n").alias("_n")).filter("_n > 0").select(key, (F.col("_n") * step**3).alias("volume"))
+
+
+def covered(at: np.ndarray, of: np.ndarray, first: np.ndarray, slab: int, step: float, n: int) -> np.ndarray:
+    """Cells that the spheres (x, y, z, r) of each of n rows cover from ``first`` on along x, ``slab`` cells wide. of: the row of each sphere, in order."""
+
+    def listed(low, high):
+        many = np.maximum(high - low + 1, 0)
+        which = np.repeat(np.arange(len(many)), many)
+        return which, np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many) + low[which]
+
+    x, y, z, r = at
+    low, high = (np.floor((v - r) / step).astype(np.int64) for v in (x, y)), (np.floor((v + r) / step).astype(np.int64) for v in (x, y))
+    (lx, ly), (hx, hy) = low, high
+    a, cx = listed(np.maximum(lx, first[of]), np.minimum(hx, first[of] + slab - 1))
+    b, cy = listed(ly[a], hy[a])
+    a, cx = a[b], cx[b]
+    d2 = ((cx + 0.5) * step - x[a]) ** 2
+    d2 = d2 + ((cy + 0.5) * step - y[a]) ** 2
+    rr = r * r
+    in_reach = d2 <= rr[a]
+    a, cx, cy, d2 = a[in_reach], cx[in_reach], cy[in_reach], d2[in_reach]
+    half = np.sqrt(rr[a] - d2)
+    inside = lambda c: d2 + ((c + 0.5) * step - z[a]) ** 2 <= rr[a]
+    # The estimates may be one off; what counts is whether a cell's centre is inside.
+    lo, hi = np.ceil((z[a] - half) / step - 0.5).astype(np.int64), np.floor((z[a] + half) / step - 0.5).astype(np.int64)
+    lo = np.where(inside(lo - 1), lo - 1, np.where(inside(lo), lo, lo + 1))
+    hi = np.where(inside(hi + 1), hi + 1, np.where(inside(hi), hi, hi - 1))
+    some = hi >= lo
+    a, cx, cy, lo, hi = a[some], cx[some], cy[some], lo[some], hi[some]
+    row = of[a]
+    if len(of) == len(np.unique(of)):  # one sphere a row: nothing to unite
+        return np.bincount(row, hi - lo + 1, n).astype(np.int64)
+    order = np.lexsort((lo, cy, cx, row))
+    row, cx, cy, lo, hi = row[order], cx[order], cy[order], lo[order], hi[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (cx[1:] != cx[:-1]) | (cy[1:] != cy[:-1])
+    if not len(row):
+        return np.zeros(n, np.int64)
+    apart = np.cumsum(new) * (hi.max() - lo.min() + 2)  # columns one after another, so that one running maximum serves all
+    top = np.maximum.accumulate(hi + apart)
+    before = np.concatenate([[lo[0] + apart[0] - 1], top[:-1]])
+    before = np.where(new, lo + apart - 1, before)
+    return np.bincount(row, np.maximum(hi + apart - np.maximum(lo + apart - 1, before), 0), n).astype(np.int64)

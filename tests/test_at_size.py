@@ -5,11 +5,13 @@ from __future__ import annotations
 import math
 import random
 from collections import Counter
+from itertools import product
 
 import pytest
 from pyspark.sql import functions as F
 
 from stratalith.operators import clustering as cl
+from stratalith.operators import ellipsoids as el
 from stratalith.operators import joins as jn
 from stratalith.plans import catalog
 
@@ -49,3 +51,19 @@ def test_anchors_in_batches(spark, small, monkeypatch, batch):
     assert sorted(r.point for r in cl.spaced_anchors(df, 0.4, "x", "point", batch=batch).collect()) == sorted(k[1] for k in kept)
     monkeypatch.setattr(jn, "radius_join", no_pairs)
     assert catalog.QUERIES["greedy_anchors"](spark, small).count() > 0
+
+
+def test_grid_volume_by_columns(spark):
+    """Single spheres and overlapping ones, some on the grid's own points, over several slabs."""
+    rng = random.Random(3)
+    atoms = [(m, *(rng.uniform(-1, 1) for _ in "xyz"), rng.uniform(0, 0.6)) for m in range(9) for _ in range(1 + 5 * (m % 3))]
+    atoms += [(20, 0.1, 0.1, 0.1, 0.2), (20, 0.1, 0.1, 0.3, 0.4), (21, 0.05, 0.05, 0.05, 0.01), (22, 5.0, 0.0, 0.0, None), (23, 0.0, 0.0, 0.0, 0.001)]
+    df = spark.createDataFrame(atoms, "mol long, x double, y double, z double, r double")
+    step, want = 0.1, {}
+    for m, x, y, z, r in atoms:
+        for c in product(*(range(math.floor((v - r) / step), math.floor((v + r) / step) + 1) for v in (x, y, z))) if r else ():
+            if sum(((k + 0.5) * step - v) * ((k + 0.5) * step - v) for k, v in zip(c, (x, y, z), strict=True)) <= r * r:
+                want.setdefault(m, set()).add(c)
+    found = el.grid_volume(df, "mol", step, slab=4)
+    assert {r.mol: round(r.volume / step**3) for r in found.collect()} == {m: len(c) for m, c in want.items()}
+    assert "cz" not in found._jdf.queryExecution().toString()
