@@ -78,3 +78,15 @@ def test_average_linkage_of_points(spark, held):
     want = sorted(map(tuple, cl.average_linkage(df, d.filter("dist < 0.3"), d, "point", "x", 0.3).select("point", "cluster", "best").collect()))
     assert len({c for _, c, _ in want}) < 140
     assert sorted(map(tuple, cl.average_linkage_of_points(df, "point", "x", 0.3, "graph", held=held).select("point", "cluster", "best").collect())) == want
+
+
+@pytest.mark.parametrize("width", [8192, 16])
+def test_nonbonded_points(spark, small, monkeypatch, width):
+    rows, df = crowd(spark, 180, 5)
+    d = {(p[1], q[1]): math.dist(p[2:], q[2:]) for p in rows for q in rows if p[0] == q[0] and p[1] != q[1]}
+    near = {(i, j) for (i, j), x in d.items() if x <= 0.25}
+    want = sorted((i % 3, i, j) for (i, j), x in d.items() if i < j and x <= 0.45 and (i, j) not in near and not any((i, k) in near and (k, j) in near for k in range(i % 3, 180, 3)))
+    assert want
+    assert sorted(map(tuple, jn.nonbonded_points(df, 0.45, 0.25, width=width).collect())) == want
+    monkeypatch.setattr(jn, "radius_join", no_pairs)
+    catalog.QUERIES["nonbonded_pairs"](spark, small).count()
