@@ -90,3 +90,27 @@ def test_nonbonded_points(spark, small, monkeypatch, width):
     assert sorted(map(tuple, jn.nonbonded_points(df, 0.45, 0.25, width=width).collect())) == want
     monkeypatch.setattr(jn, "radius_join", no_pairs)
     catalog.QUERIES["nonbonded_pairs"](spark, small).count()
+
+
+@pytest.mark.parametrize("share", [256, 2])
+def test_torsions_from_lists_of_neighbours(spark, share):
+    """Rings, chains, hubs, ends without another neighbour and a bond listed twice, of each group alone."""
+    half = [(g, *b) for g in (1, 2) for b in [(1, 2), (2, 3), (1, 3), (3, 4), (4, 5), (10, 11), (12, 13), (13, 14), (20 + g, 30), (20 + g, 30)] + [(30, 31 + k) for k in range(7)] + [(40, 20 + g), (40, 5)]]
+    half += [(3, 50, 51 + k) for k in range(9)] + [(4, 60, 61), (4, 61, 62), (4, 60, 62)]
+    both = [(g, *p) for g, a, b in half for p in ((a, b), (b, a))]
+    want = sorted((g, i, j, k, m) for g, i, j in both for h, j2, k in both if (g, j) == (h, j2) and j < k and i != k for h, k2, m in both if (g, k) == (h, k2) and m not in (i, j))
+    df = spark.createDataFrame(both, "graph long, src long, dst long")
+    assert want and sorted(map(tuple, jn.torsion_paths(df, "graph", share=share).collect())) == want
+    one = df.filter("graph = 1").drop("graph")
+    assert sorted(map(tuple, jn.torsion_paths(one, share=share).collect())) == [p[1:] for p in want if p[0] == 1]
+    assert jn.torsion_paths(df.filter("graph > 2"), "graph").count() == 0
+
+
+def test_torsions_are_made_in_many_tasks(spark):
+    """Few bonds have many paths, also those of one bond between two hubs: no task makes more than its part."""
+    crowded = [(0, i, j) for i in range(40) for j in range(40) if i != j]
+    hubs = [(1, *p) for h in (0, 1) for k in range(2, 1002) for p in ((h, 2 * k + h), (2 * k + h, h))] + [(1, 0, 1), (1, 1, 0)]
+    for rows, n, more in ((crowded, 40 * 39 * 38 * 37 // 2, {}), (hubs, 1000 * 1000, {"share": 32})):
+        made = jn.torsion_paths(spark.createDataFrame(rows, "graph long, src long, dst long"), "graph", **more)
+        parts = [r["count"] for r in made.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+        assert sum(parts) == n and len(parts) == 4 and max(parts) < n / 2
