@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import math
 import random
+import subprocess
+import sys
 from collections import Counter
 from itertools import product
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -114,3 +117,30 @@ def test_torsions_are_made_in_many_tasks(spark):
         made = jn.torsion_paths(spark.createDataFrame(rows, "graph long, src long, dst long"), "graph", **more)
         parts = [r["count"] for r in made.groupBy(F.spark_partition_id().alias("p")).count().collect()]
         assert sum(parts) == n and len(parts) == 4 and max(parts) < n / 2
+
+
+@pytest.mark.parametrize(("share", "wide", "tile"), [(5, 3, (2, 2)), (2, 4, (1, 3)), (256, 65536, (3, 1))])
+def test_torsions_in_pieces_of_both_ends(spark, share, wide, tile):
+    """Any sizes of pieces and tiles give each path once."""
+    rng = random.Random(6)
+    half = {(g, *sorted(rng.sample(range(14), 2))) for g in (1, 2) for _ in range(40)} | {(3, h, 100 * (h + 1) + k) for h in (0, 1) for k in range(11)} | {(3, 0, 1)}
+    both = [(g, *p) for g, a, b in half for p in ((a, b), (b, a))]
+    want = sorted((g, i, j, k, m) for g, i, j in both for h, j2, k in both if (g, j) == (h, j2) and j < k and i != k for h2, k2, m in both if (g, k) == (h2, k2) and m not in (i, j))
+    assert sum(w[0] == 3 for w in want) == 121
+    made = jn.torsion_paths(spark.createDataFrame(both, "graph long, src long, dst long"), "graph", share=share, wide=wide, tile=tile)
+    assert sorted(map(tuple, made.collect())) == want
+
+
+def test_torsions_of_hubs_are_not_held(tmp_path):
+    """15 million paths of one bond go through a heap of 1 GB, which can't hold them as rows."""
+    code = f"""
+from pyspark.sql import SparkSession
+from stratalith.operators import joins as jn
+spark = SparkSession.builder.master("local[2]").config("spark.driver.memory", "1g").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "4").config("spark.local.dir", {str(tmp_path)!r}).getOrCreate()
+half = spark.range(256).selectExpr("0L AS a", "id + 2 AS b").union(spark.range(60000).selectExpr("1L AS a", "id + 1000000 AS b")).union(spark.sql("SELECT 0L, 1L"))
+made = jn.torsion_paths(half.union(half.select("b", "a")).toDF("src", "dst"))
+made.write.format("noop").mode("overwrite").save()
+print("made", made.count())
+"""
+    run = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parents[1], capture_output=True, text=True, timeout=300)
+    assert run.stdout.split() == ["made", str(256 * 60000)], run.stderr[-2000:]
